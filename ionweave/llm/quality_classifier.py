@@ -131,37 +131,59 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: ClassifierParams, id_
     return [rows[i][0] for i, _ in take], [rows[i][1] for i, _ in take]
 
 
-def score(docs: DataFrame, model: FoldedModel, p: ClassifierParams, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, *carry, score) for every row of docs; score is the softmax's chance of class 1."""
+def _scorer(saved: bytes, p: ClassifierParams):
+    """A function from a text to its score, with the words seen lately remembered."""
+    values = np.frombuffer(saved, "<f4")
+    bias, margin = float(values[-1]), values[:-1].tolist()
+
+    class Known(dict):
+        def __missing__(self, word: str) -> complex:
+            own = word_features(word, p)
+            got = complex(sum([margin[i] for i in own]), len(own))
+            if len(self) >= p.cache:
+                self.clear()
+            self[word] = got
+            return got
+
+    known = Known()
+
+    def score_of(text: str) -> float:
+        total = sum(map(known.__getitem__, text.split()), 0j)
+        z = bias + (total.real / total.imag if total.imag else 0.0)
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+    return score_of
+
+
+def score(docs: DataFrame, model: FoldedModel, p: ClassifierParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, score) for every row of docs; score is the softmax's chance of class 1."""
     saved = docs.sparkSession.sparkContext.broadcast(model.save())  # p.buckets floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = np.frombuffer(saved.value, "<f4")
-        bias, margin = float(values[-1]), values[:-1].tolist()
-
-        class Known(dict):
-            def __missing__(self, word: str) -> complex:
-                own = word_features(word, p)
-                got = complex(sum([margin[i] for i in own]), len(own))
-                if len(self) >= p.cache:
-                    self.clear()
-                self[word] = got
-                return got
-
-        known = Known()
+        score_of = _scorer(saved.value, p)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                scores = []
-                for text in batch.column(1).to_pylist():
-                    total = sum(map(known.__getitem__, text.split()), 0j)
-                    z = bias + (total.real / total.imag if total.imag else 0.0)
-                    scores.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())], names=["doc_id", *carry, "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *carry)
-    schema = rows.drop("text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+                scores = [score_of(text) for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: FoldedModel, p: ClassifierParams, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    saved = docs.sparkSession.sparkContext.broadcast(model.save())
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = _scorer(saved.value, p)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield batch.filter(pa.array([score_of(text or "") >= threshold for text in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierParams(), threshold: float = 0.7, folds: int = 4, held: int = 2) -> DataFrame:

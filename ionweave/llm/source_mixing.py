@@ -142,7 +142,7 @@ def mix_counts(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row (uid, doc_id, source, size, source_size, target, copies) for each row of docs.
+    """One row (uid, doc_id, text_hash, source, size, source_size, target, copies) for each row of docs.
 
     size is the text's number of words (null text: 0); copies is how often the mix takes the document, at most
     `most`. Sources are ordered by code point, null is a source of its own and comes last; empty names are sources too.
@@ -150,7 +150,8 @@ def mix_counts(
     the same files agree. An empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "mixing")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"))
+    text = text_or_empty(text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"))
     # the number of a row follows from the row and, for repeated rows, from its place
     sized = space.write(base.withColumn("uid", F.monotonically_increasing_id()), "sized")
     per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
@@ -162,7 +163,7 @@ def mix_counts(
     rated = space.write(rated.withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))), "rated")
     extra = decide(space, rated.where("size > 0").select("uid", "sid", "size", "chance"))
     out = rated.join(extra, "uid", "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
-    return out.select("uid", "doc_id", "source", "size", "source_size", "target", "copies")
+    return out.select("uid", "doc_id", "text_hash", "source", "size", "source_size", "target", "copies")
 
 
 def taken(copies: Column, size: Column) -> Column:
