@@ -42,26 +42,28 @@ def with_verified_ids(recipes: DataFrame) -> DataFrame:
     return recipes.drop("chunks").join(lists.select("row_id", F.col("x.id").alias("ids")), "row_id")
 
 
-def exact_dedup(
+def exact_dedup_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK
 ) -> DataFrame:
-    """One row (doc_id, keep_id, group_size, kept, text_sha256) for each row of docs.
+    """One row (doc_id, keep_id, group_size, kept, text_sha256, text_hash) for each row of docs.
 
     Texts are equal when they are the same after deleting every character of `[\\x20\\x09-\\x0D]`; a null text is an
     empty one, and empty texts are equal. Of equal texts the row with the most code points in its original text
     stays, then the one with the smallest id (a null id loses to any other). Repeated rows with one id and one text
     are counted in group_size one by one and share `kept`. An empty table gives no rows; other columns are ignored.
+    text_hash is xxhash64 of the original text.
     hash_of may be any function of a chunk column that returns a long: clashes of it are found and resolved.
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("raw")).select(
-        "doc_id", F.length("raw").alias("size"), F.regexp_replace("raw", SPACE_RE, "").alias("norm")
+        "doc_id", F.xxhash64("raw").alias("text_hash"), F.length("raw").alias("size"), F.regexp_replace("raw", SPACE_RE, "").alias("norm")
     )
-    cut = plain.select("doc_id", "size", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm"), min_chunk, max_chunk).alias("parts"))
+    cut = plain.select("doc_id", "text_hash", "size", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm"), min_chunk, max_chunk).alias("parts"))
     recipes = space.write(
         cut.select(
             F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
+            "text_hash",
             "size",
             "text_sha256",
             F.transform("parts", lambda c: F.struct(hash_of(c).cast("long").alias("h"), F.unhex(F.sha2(c, 256)).alias("digest"))).alias("chunks"),
@@ -69,8 +71,15 @@ def exact_dedup(
         "recipes",
     )
     rows = with_verified_ids(recipes)
-    groups = rows.groupBy("ids").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("ids", (-F.col("best.back")).alias("keep_id"), "group_size")
-    return rows.join(groups, "ids").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    groups = rows.groupBy("ids").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    # written, so that the join deals both sides itself: a list that a third of all rows share is then split by the skew join
+    groups = space.write(groups.select("ids", (-F.col("best.back")).alias("keep_id"), "group_size"), "groups")
+    found = rows.join(groups, "ids", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+    return found.select(
+        "doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash"
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """exact_dedup_rows without the hash of the original text."""
+    return exact_dedup_rows(docs, id_col, text_col).drop("text_hash")
