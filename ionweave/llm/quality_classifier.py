@@ -9,6 +9,7 @@ adds to the class margin before scoring, so a text costs a lookup per word and e
 from __future__ import annotations
 
 import math
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,17 +46,33 @@ def word_features(word: str, p: ClassifierParams) -> list[int]:
     return out
 
 
+#: Word bigrams and trigrams count by their pattern: a word that comes again after one, two or three places.
+GAPS = (1, 2, 3)
+#: A pattern weighs as much as the features of a word.
+PATTERN_WEIGHT = 10
+
+
+def pattern_features(words: list[str], p: ClassifierParams) -> list[tuple[int, int]]:
+    """(bucket, count) of the repetition patterns."""
+    return [(zlib.crc32(b"gap%d" % g) & (p.buckets - 1), PATTERN_WEIGHT * sum(map(operator.eq, words, words[g:]))) for g in GAPS]
+
+
 def document_features(text: str, p: ClassifierParams, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) of a document's mean; the weights add up to 1, or there are none."""
     ids: list[int] = []
     counts: list[int] = []
-    for word, n in Counter(text.split()).items():
+    words = text.split()
+    for word, n in Counter(words).items():
         if (own := known.get(word)) is None:
             own = known[word] = word_features(word, p)
         ids += own
         counts += [n] * len(own)
     if not ids:
         return np.empty(0, np.int64), np.empty(0, np.float32)
+    for bucket, n in pattern_features(words, p):
+        if n:
+            ids.append(bucket)
+            counts.append(n)
     unique, at = np.unique(np.array(ids), return_inverse=True)
     weights = np.bincount(at, weights=np.array(counts, np.float64))
     return unique, (weights / weights.sum()).astype(np.float32)
@@ -148,7 +165,10 @@ def _scorer(saved: bytes, p: ClassifierParams):
     known = Known()
 
     def score_of(text: str) -> float:
-        total = sum(map(known.__getitem__, text.split()), 0j)
+        words = text.split()
+        total = sum(map(known.__getitem__, words), 0j)
+        for bucket, n in pattern_features(words, p):
+            total += complex(n * margin[bucket], n)
         z = bias + (total.real / total.imag if total.imag else 0.0)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
