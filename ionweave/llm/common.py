@@ -107,13 +107,14 @@ def connected_components(space: Workspace, edges: DataFrame, name: str, max_roun
     for k in range(1, max_rounds + 1):
         # large star: every larger neighbour of a node points to the smallest node among the node and its neighbours
         both = rows.select("a", "b").unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join deals both sides itself and a node with very many neighbours is split by the skew join
+        least = space.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least-{k}")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours point to the smallest of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         rows = space.write(small.distinct(), f"{name}-{k}")
-        space.drop(last)
+        space.drop(last, f"{name}-least-{k}")
         last = f"{name}-{k}"
         mark = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:

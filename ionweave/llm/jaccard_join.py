@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ def posterior(matches: int, n: int, threshold: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+@cache
 def prune_table(p: JoinParams) -> list[tuple[int, int]]:
     """(n, least) steps: after n hashes a pair needs at least `least` agreements to stay."""
     steps = sorted({min(p.hashes, n) for n in (16, 32, 64, 96, p.hashes)})
@@ -290,7 +292,10 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
     sets = space.write(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     bands = _band_rows(sets, p)
-    crowded = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    seen = F.xxhash64("sid")
+    crowded = bands.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(seen).alias("x"), F.bit_xor(F.xxhash64(seen)).alias("y")).where("m > 1")
+    # near copies meet in most bands: of the buckets that hold the same sets, by their number and a 128-bit sum, one goes on
+    crowded = crowded.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
     members = space.write(bands.join(crowded, "key"), "members")
     candidates = space.write(filter_by_id(sets.select("sid", "signature"), members.select("sid"), "sid", keep=True), "candidates")
     dealt = _in_blocks(members.join(candidates, "sid"), "key", F.ceil(F.col("m") / F.lit(p.bucket_block)))
