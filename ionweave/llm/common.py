@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of one 8-byte id that may be broadcast (about 30 MB); above it the same join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -48,7 +51,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        """Writes df; its shuffle files go as soon as it is written, as the table is read from then on."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
