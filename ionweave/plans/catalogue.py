@@ -1,9 +1,21 @@
 """Registered queries of the engine's own operators."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from ionweave.plans import arrays, kernel_queries, registry, relational  # noqa: F401  they register their queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.QUERIES["xic_search"](spark, sf_dir)
