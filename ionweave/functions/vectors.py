@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,9 +135,6 @@ def comb(x: Column, teeth: list[float], width: float) -> Column:
 
 def pack_doubles(v: Column) -> Column:
     """Little-endian 64-bit floats, through an Arrow function."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else np.asarray(x, "<f8").tobytes())
@@ -143,11 +144,6 @@ def pack_doubles(v: Column) -> Column:
 
 def unpack_floats(blob: Column, double: bool = False, zlib_packed: bool = False) -> Column:
     """Raw or deflated little-endian floats as an array of doubles."""
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
     kind = "<f8" if double else "<f4"
 
     @F.pandas_udf("array<double>")
