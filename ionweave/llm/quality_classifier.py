@@ -46,6 +46,9 @@ def word_features(word: str, p: ClassifierParams) -> list[int]:
     return out
 
 
+#: Words whose features are remembered while learning.
+KNOWN_WORDS = 50_000
+
 #: Word bigrams and trigrams count by their pattern: a word that comes again after one, two or three places.
 GAPS = (1, 2, 3)
 #: A pattern weighs as much as the features of a word.
@@ -57,24 +60,27 @@ def pattern_features(words: list[str], p: ClassifierParams) -> list[tuple[int, i
     return [(zlib.crc32(b"gap%d" % g) & (p.buckets - 1), PATTERN_WEIGHT * sum(map(operator.eq, words, words[g:]))) for g in GAPS]
 
 
-def document_features(text: str, p: ClassifierParams, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none."""
-    ids: list[int] = []
-    counts: list[int] = []
+def document_features(text: str, p: ClassifierParams, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none. known: features of some words."""
     words = text.split()
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    parts: list[np.ndarray] = []
+    counts: list[int] = []
     for word, n in Counter(words).items():
         if (own := known.get(word)) is None:
-            own = known[word] = word_features(word, p)
-        ids += own
-        counts += [n] * len(own)
-    if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+            own = np.array(word_features(word, p), np.int32)
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            known[word] = own
+        parts.append(own)
+        counts.append(n)
     for bucket, n in pattern_features(words, p):
         if n:
-            ids.append(bucket)
+            parts.append(np.array([bucket], np.int32))
             counts.append(n)
-    unique, at = np.unique(np.array(ids), return_inverse=True)
-    weights = np.bincount(at, weights=np.array(counts, np.float64))
+    unique, at = np.unique(np.concatenate(parts), return_inverse=True)
+    weights = np.bincount(at, weights=np.repeat(np.array(counts, np.float64), [len(x) for x in parts]))
     return unique, (weights / weights.sum()).astype(np.float32)
 
 
@@ -96,7 +102,7 @@ def fit(texts: list[str], labels: list[int], p: ClassifierParams = ClassifierPar
     if len(set(labels)) < 2:
         return FoldedModel(np.zeros(p.buckets, np.float32), prior)
     rng = np.random.default_rng(p.seed)
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     docs = [document_features(t, p, known) for t in texts]
     known.clear()
     rows = rng.uniform(-1.0, 1.0, (p.buckets, p.dim)).astype(np.float32) / p.dim
