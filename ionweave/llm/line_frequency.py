@@ -27,8 +27,8 @@ DIGITS = re.compile(rb"[0-9]+")
 class LineParams:
     min_docs: int = 20  # a boilerplate line is in more distinct documents of its host than this
     min_share: float = 0.01  # and in more than this share of them
-    min_left: float = 0.3  # a document keeps at least this share of its words
-    min_words: int = 20  # and at least so many of them
+    min_left: float = 0.3  # a document that is left with less than this share of its words is rejected
+    min_words: int = 20  # fewer words fail the base rules
     max_repeat: int = 30  # percent of words in repeated windows
     window: int = 8
 
@@ -166,5 +166,5 @@ def quality_rules(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "
     judged = table.drop("lines", "words", "copy", "host").join(lost, "row_id", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
-    depleted = (F.col("n_line_words") > 0) & ((left < p.min_words) | (left < p.min_left * F.col("n_words")))
+    depleted = (F.col("n_line_words") > 0) & (left < p.min_left * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row_id")

@@ -161,7 +161,7 @@ f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_line_words
   FROM w LEFT JOIN dup USING (id) LEFT JOIN covered USING (id) LEFT JOIN lost USING (id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_line_words > 0 AND (n_words - n_line_words < 20 OR n_words - n_line_words < 0.3 * n_words)) AS kept FROM f
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_line_words > 0 AND n_words - n_line_words < 0.3 * n_words) AS kept FROM f
 """
 
 JACCARD_SQL = r"""
