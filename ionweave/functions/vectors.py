@@ -151,3 +151,22 @@ def unpack_floats(blob: Column, double: bool = False, zlib_packed: bool = False)
         return blobs.map(lambda b: None if b is None else np.frombuffer(zlib.decompress(b) if zlib_packed and b else b, kind).astype("f8"))
 
     return run(blob)
+
+
+def sparse_stats(m: Column, size: int) -> Column:
+    """Of a map from place to value, zeros included: max, min, mean and population sigma over `size` places; median over the stored values."""
+    values = F.map_values(m)
+    absent = F.lit(size) - F.size(values)
+    mean = total(values) / size
+    spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) + absent * mean * mean
+    with_zero = F.when(absent > 0, F.concat(values, F.array(F.lit(0.0)))).otherwise(values)
+    ordered, n = F.array_sort(values), F.size(values)
+    middle = F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2).otherwise(0.0)
+    return F.struct(F.array_max(with_zero).alias("max"), F.array_min(with_zero).alias("min"), mean.alias("mean"), F.sqrt(spread / size).alias("sigma"), middle.alias("median"))
+
+
+def kl_by_sum(p: Column, q: Column, floor: float = 1e-6) -> Column:
+    """The row form: shares of p times the sum of all base-2 log ratios."""
+    a, b = _shares(p, floor), _shares(q, floor)
+    logs = total(F.zip_with(a, b, lambda x, y: F.log2(x / y)))
+    return total(F.transform(a, lambda x: x * logs))

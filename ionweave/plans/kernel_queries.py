@@ -153,3 +153,27 @@ def stream_sessions(t):
     from ionweave.streaming import events
 
     return events.sessions(t.events)
+
+
+@query()
+def spectrum_centric(t):
+    from ionweave.plans.spectra import spectrum_centric as plan
+
+    rows = t.events.select(
+        F.unix_seconds(F.date_trunc("day", "ts")).alias("scan_number"), (F.dayofyear("ts") * 1.0).alias("scan_time"), F.round(F.col("value") + 100, 1).alias("mz"), F.col("user_id").cast("double").alias("intensity")
+    )
+    spots = rows.groupBy("scan_number", "scan_time", "mz").agg(F.sum("intensity").alias("intensity"))
+    ions = t.part.select((F.col("p_partkey") % 40).alias("candidate"), (F.col("p_partkey") % 40 * 0.75).alias("predicted_time"), F.round(F.col("p_retailprice") / 10 + 12, 1).alias("mz"), F.col("p_size").cast("double").alias("intensity"))
+    return plan(spots, ions.groupBy("candidate", "predicted_time", "mz").agg(F.max("intensity").alias("intensity")), 100.0, 3.0)
+
+
+@query("""
+WITH m AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2)
+SELECT user_id, round(CASE WHEN count(*) < 8 THEN greatest(max(v), 0) ELSE max(v) END, 4) AS top, round(sum(v) / 8, 6) AS mean, round(sqrt(sum(v * v) / 8 - (sum(v) / 8) ** 2), 6) AS sigma, round(median(v), 6) AS middle FROM m GROUP BY 1""")
+def sparse_statistics(t):
+    from ionweave.functions.vectors import sparse_stats
+
+    per = t.events.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    maps = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    s = maps.withColumn("s", sparse_stats(F.col("m"), 8))
+    return s.select("user_id", F.round("s.max", 4).alias("top"), F.round("s.mean", 6).alias("mean"), F.round("s.sigma", 6).alias("sigma"), F.round("s.median", 6).alias("middle"))

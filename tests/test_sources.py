@@ -152,3 +152,17 @@ def test_decoy_fragments(spark):
         want = chem.fragment_mz("ASDEFGHVK", ion["kind"], 1)[ion["number"] - 1]
         off = 0.1 if ion["number"] == 1 else 0.0
         assert ion["mz"] == pytest.approx(want + off, abs=1e-6)
+
+
+def test_labels_are_inferred(spark):
+    sequence = "ACDEFGHLK"
+    labels = ["b3", "b5", "y4", "y7^2"]
+    mz = [chem.fragment_mz(sequence, x[0], 2 if "^" in x else 1)[int(x[1]) - 1] + 0.01 for x in labels]
+    assert library.label_peptide(sequence, mz, False)[0] == labels
+    assert library.label_peptide(sequence, [*mz, 10.0], False)[0] is None
+    # a decoy that carries its target's fragments: S comes from C, L from G among others
+    assert library.label_peptide("ASDEFGHVK", mz, True)[0] == labels
+    row = [(sequence, 2, 1000.0, 1.0, 0.0, False, mz, [1.0] * 4, []), (sequence, 2, 1000.0, 1.0, 0.0, False, mz, [1.0] * 4, ["p"] * 4)]
+    got = library.infer_labels(spark.createDataFrame(row, library.schema.LIBRARY)).collect()
+    assert got[0]["labels"] == labels and got[1]["labels"] == ["p"] * 4
+    assert library.decoy_sources()["N"] == ["Q"]
