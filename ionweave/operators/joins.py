@@ -85,34 +85,48 @@ def band_join_keep_max(points: DataFrame, searched: DataFrame, x: str, y: str, c
     return joined.withColumn("found_x", F.coalesce("found_x", F.lit(-1.0))).withColumn("found_y", F.coalesce("found_y", F.lit(-1.0)))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], carry: list[str]) -> DataFrame:
-    """Each row of left with the columns `carry` of the last row of right at or before its time, per `by`.
+def _neighbours(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], carry: list[str], slice_width: float | None) -> DataFrame:
+    """Rows of left as `_row` with `_t`, and structs `_b`, `_a` (_rt and the carried columns): the last row of right at or before and the first at or behind.
 
-    One union and one window over the time order: a single shuffle on `by`. Null without such a row. Of rows of
-    right with one time, the one with the largest carried values counts.
+    One union and one sort per key. With slice_width a key's time line is cut into slices, which are sorted by different tasks; what a
+    slice doesn't see itself comes from the nearest slices that have rows of right, of which there is one row each.
     """
-    taken = F.struct(*carry).alias("_carried")
-    a = left.select(F.struct(*left.columns).alias("_row"), *by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(taken).schema[0].dataType).alias("_carried"))
-    b = right.select(F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema[0].dataType).alias("_row"), *by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), taken)
-    order = Window.partitionBy(*by).orderBy("_t", "_side", "_carried").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("_last", F.last("_carried", ignorenulls=True).over(order)).where("_side = 1")
-    return found.select("_row.*", *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in carry])
+    taken = F.struct(F.col(right_time).alias("_rt"), *carry).alias("_carried")
+    kind = right.select(taken).schema[0].dataType
+    whole = F.struct(*left.columns)
+    slot = (lambda c: F.floor(F.col(c) / F.lit(slice_width)).cast("long")) if slice_width else (lambda c: F.lit(0).cast("long"))
+    a = left.select(whole.alias("_row"), *by, F.col(left_time).alias("_t"), slot(left_time).alias("_slice"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_carried"))
+    b = right.select(F.lit(None).cast(left.select(whole.alias("s")).schema[0].dataType).alias("_row"), *by, F.col(right_time).alias("_t"), slot(right_time).alias("_slice"), F.lit(0).alias("_side"), taken)
+    order = Window.partitionBy(*by, "_slice").orderBy("_t", "_side", "_carried")
+    found = a.unionByName(b)
+    found = found.withColumn("_b", F.last("_carried", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.withColumn("_a", F.first("_carried", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    if not slice_width:
+        return found
+    # a slice's first and last row of right, filled over the slices of its key that left has rows in
+    ends = b.groupBy(*by, "_slice").agg(F.min("_carried").alias("_head"), F.max("_carried").alias("_tail"))
+    slots = a.select(*by, "_slice").distinct().withColumn("_head", F.lit(None).cast(kind)).withColumn("_tail", F.lit(None).cast(kind))
+    per = ends.unionByName(slots).groupBy(*by, "_slice").agg(F.max("_head").alias("_head"), F.max("_tail").alias("_tail"))
+    line = Window.partitionBy(*by).orderBy("_slice")
+    per = per.withColumn("_before", F.last("_tail", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    per = per.withColumn("_behind", F.first("_head", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    joined = found.join(per.select(*by, "_slice", "_before", "_behind"), [*by, "_slice"], "left")
+    return joined.withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_behind"))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], carry: list[str], slice_width: float | None = None) -> DataFrame:
+    """Each row of left with the columns `carry` of the last row of right at or before its time, per `by`.
 
+    Null without such a row; of rows of right with one time, the one with the largest carried values counts. With
+    slice_width, numeric times of one key are spread over tasks, so a key may hold any share of the rows.
+    """
+    found = _neighbours(left, right, left_time, right_time, by, carry, slice_width)
+    return found.select("_row.*", *[F.col(f"_b.{c}").alias(f"asof_{c}") for c in carry])
 
-def nearest_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], carry: list[str]) -> DataFrame:
-    """Each row of left with the nearest row of right per `by`; of two equally near ones the later.
 
-    The neighbours on both sides come from two frames over one sort; only they are compared.
-    """
-    taken = F.struct(F.col(right_time).alias("_rt"), *carry).alias("_carried")
-    kind = right.select(taken).schema[0].dataType
-    a = left.select(F.struct(*left.columns).alias("_row"), *by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_carried"))
-    b = right.select(F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema[0].dataType).alias("_row"), *by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), taken)
-    order = Window.partitionBy(*by).orderBy("_t", "_side", "_carried")
-    both = a.unionByName(b)
-    before = F.last("_carried", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_carried", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+def nearest_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], carry: list[str], slice_width: float | None = None) -> DataFrame:
+    """Each row of left with the nearest row of right per `by`; of two equally near ones the later. slice_width: see asof_backward."""
+    found = _neighbours(left, right, left_time, right_time, by, carry, slice_width)
     use_after = F.col("_b").isNull() | (F.col("_a").isNotNull() & (F.abs(F.col("_a._rt") - F.col("_t")) <= F.abs(F.col("_b._rt") - F.col("_t"))))
     picked = found.withColumn("_n", F.when(use_after, F.col("_a")).otherwise(F.col("_b")))
     return picked.select("_row.*", F.col("_n._rt").alias("nearest_time"), *[F.col(f"_n.{c}").alias(f"nearest_{c}") for c in carry])

@@ -17,6 +17,16 @@ def frame_index(df: DataFrame, by: list[str], order: list[str], name: str = "fra
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
+def spread_frame_index(df: DataFrame, by: list[str], order: list[str], name: str = "frame_index") -> DataFrame:
+    """frame_index for keys of any size: rows are dealt by ranges of (by, order), numbered in each range, and moved by what a key has in earlier ranges."""
+    parts = staged(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # a row per key and range
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    return parts.withColumn("_i", own).join(offsets, [*by, "_part"]).withColumn(name, (F.col("_i") + F.col("_o")).cast("long")).drop("_part", "_i", "_o")
+
+
 def clamped(index: Column, low: Column | int, high: Column | int) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.least(F.greatest(index, as_column(low)), as_column(high))

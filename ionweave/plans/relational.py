@@ -144,9 +144,10 @@ def band_join_keep_max(t):
 SELECT a.event_id, b.event_id AS asof_event_id, b.value AS asof_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts""")
 def asof_backward(t):
-    left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    right = t.events.where("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("rts"), "value")
-    return joins.asof_backward(left, right, "ts", "rts", ["user_id"], ["event_id", "value"]).select("event_id", "asof_event_id", "asof_value")
+    e = t.events.withColumn("us", F.unix_micros("ts"))
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "us")
+    right = e.where("event_type = 'view'").select("event_id", "user_id", F.col("us").alias("rus"), "value")
+    return joins.asof_backward(left, right, "us", "rus", ["user_id"], ["event_id", "value"], 86_400e6).select("event_id", "asof_event_id", "asof_value")
 
 
 @query("""
@@ -156,7 +157,7 @@ def nearest_scan(t):
     e = t.events.withColumn("us", F.unix_micros("ts"))
     left = e.where("event_type = 'error'").select("event_id", "user_id", "us")
     right = e.where("event_type = 'click'").select("event_id", "user_id", F.col("us").alias("rus"))
-    found = joins.nearest_join(left, right, "us", "rus", ["user_id"], ["event_id"])
+    found = joins.nearest_join(left, right, "us", "rus", ["user_id"], ["event_id"], 86_400e6)
     return found.where("nearest_event_id is not null").select("event_id", "nearest_event_id")
 
 
@@ -335,6 +336,11 @@ def frame_index(t):
     return windows.frame_index(t.events, ["event_type"], ["ts", "event_id"]).select("event_id", "event_type", "frame_index")
 
 
+@query("""SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame_index FROM events""")
+def frame_index_spread(t):
+    return windows.spread_frame_index(t.events, ["event_type"], ["ts", "event_id"]).select("event_id", "event_type", "frame_index")
+
+
 _LABELS = "(SELECT doc_id, quality = 0 AS decoy, n_chars % 997 AS score FROM labels JOIN documents USING (doc_id))"
 
 

@@ -49,6 +49,14 @@ def test_asof_and_nearest(spark):
     assert rows(joins.nearest_join(left, right, "t", "rt", ["k"], ["v"]), "k", "t", "nearest_v") == [(1, 0.5, "a"), (1, 5.0, "c"), (2, 1.0, None)]
 
 
+def test_sliced_asof_and_nearest_are_the_plain_ones(spark):
+    rng = random.Random(8)
+    left = spark.createDataFrame([(i, rng.randrange(3), float(rng.randrange(400))) for i in range(150)], "id long, k long, t double")
+    right = spark.createDataFrame([(rng.randrange(2), float(rng.randrange(400)), i) for i in range(40)], "k long, rt double, v long")
+    for join in (joins.asof_backward, joins.nearest_join):
+        assert rows(join(left, right, "t", "rt", ["k"], ["v"])) == rows(join(left, right, "t", "rt", ["k"], ["v"], 7.0))
+
+
 def test_q_values_against_plain_python(spark):
     rng = random.Random(4)
     for _ in range(3):
