@@ -36,6 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches than Spark's 10,000 rows and 64 MB where these are unchanged: rows here hold whole texts."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
+class Memo(dict):
+    """Values of a function of words, remembered up to a bound: the older half goes when the newer is full, unless asked for again."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.half, self.older = compute, most // 2, {}
+
+    def __missing__(self, word):
+        if (value := self.older.get(word)) is None:
+            value = self.compute(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 class Workspace:
     """Intermediate tables of one run, written as Parquet below the shared folder.
 
@@ -44,6 +68,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ionweave/{label}-{uuid.uuid4().hex}"
 

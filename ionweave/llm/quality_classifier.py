@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import crc_bucket, text_or_empty
+from ionweave.llm.common import Memo, bounded_batches, crc_bucket, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -39,8 +39,14 @@ class ClassifierParams:
 def word_features(word: str, p: ClassifierParams) -> list[int]:
     """Buckets of the word itself and of its character n-grams, with marks for its ends."""
     mask = p.buckets - 1
+    raw = word.encode()
+    out = [zlib.crc32(b"w" + raw) & mask]
+    if len(raw) == len(word):  # ASCII: characters are bytes
+        crc, raw = zlib.crc32, b"<" + raw + b">"
+        for n in p.ngrams:
+            out += [crc(raw[i : i + n]) & mask for i in range(len(raw) - n + 1)]
+        return out
     marked = f"<{word}>"
-    out = [zlib.crc32(b"w" + word.encode()) & mask]
     for n in p.ngrams:
         out += [zlib.crc32(marked[i : i + n].encode()) & mask for i in range(len(marked) - n + 1)]
     return out
@@ -159,16 +165,11 @@ def _scorer(saved: bytes, p: ClassifierParams):
     values = np.frombuffer(saved, "<f4")
     bias, margin = float(values[-1]), values[:-1].tolist()
 
-    class Known(dict):
-        def __missing__(self, word: str) -> complex:
-            own = word_features(word, p)
-            got = complex(sum([margin[i] for i in own]), len(own))
-            if len(self) >= p.cache:
-                self.clear()
-            self[word] = got
-            return got
+    def folded(word: str) -> complex:
+        own = word_features(word, p)
+        return complex(sum([margin[i] for i in own]), len(own))
 
-    known = Known()
+    known = Memo(folded, p.cache)
 
     def score_of(text: str) -> float:
         words = text.split()
@@ -183,6 +184,7 @@ def _scorer(saved: bytes, p: ClassifierParams):
 
 def score(docs: DataFrame, model: FoldedModel, p: ClassifierParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score) for every row of docs; score is the softmax's chance of class 1."""
+    bounded_batches(docs.sparkSession)
     saved = docs.sparkSession.sparkContext.broadcast(model.save())  # p.buckets floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +201,7 @@ def score(docs: DataFrame, model: FoldedModel, p: ClassifierParams, id_col: str
 
 def keep_good(docs: DataFrame, model: FoldedModel, p: ClassifierParams, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
+    bounded_batches(docs.sparkSession)
     saved = docs.sparkSession.sparkContext.broadcast(model.save())
     place = docs.columns.index(text_col)
 

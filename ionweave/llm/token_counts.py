@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import text_or_empty
+from ionweave.llm.common import bounded_batches, text_or_empty
 
 #: Distinct words that a worker remembers.
 CACHE = 200_000
@@ -103,6 +103,7 @@ def token_counts(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], i
     Words are runs without the six ASCII spaces, counted on their UTF-8 bytes. A null text is an empty one with no
     words. Repeated rows are counted each; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary, whatever the corpus
     name = zlib.crc32(b"\n".join([*vocabulary[0], b"", *vocabulary[1]]))
 
