@@ -43,23 +43,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-class Memo(dict):
-    """Values of a function of words, remembered up to a bound: the older half goes when the newer is full, unless asked for again."""
-
-    def __init__(self, compute, most: int):
-        super().__init__()
-        self.compute, self.half, self.older = compute, most // 2, {}
-
-    def __missing__(self, word):
-        if (value := self.older.get(word)) is None:
-            value = self.compute(word)
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[word] = value
-        return value
-
-
 class Workspace:
     """Intermediate tables of one run, written as Parquet below the shared folder.
 

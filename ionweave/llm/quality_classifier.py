@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import Memo, bounded_batches, crc_bucket, text_or_empty
+from ionweave.llm.common import bounded_batches, crc_bucket, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -36,24 +36,34 @@ class ClassifierParams:
     seed: int = 17
 
 
-def word_features(word: str, p: ClassifierParams) -> list[int]:
-    """Buckets of the word itself and of its character n-grams, with marks for its ends."""
-    mask = p.buckets - 1
-    raw = word.encode()
-    out = [zlib.crc32(b"w" + raw) & mask]
-    if len(raw) == len(word):  # ASCII: characters are bytes
-        crc, raw = zlib.crc32, b"<" + raw + b">"
-        for n in p.ngrams:
-            out += [crc(raw[i : i + n]) & mask for i in range(len(raw) - n + 1)]
-        return out
-    marked = f"<{word}>"
-    for n in p.ngrams:
-        out += [zlib.crc32(marked[i : i + n].encode()) & mask for i in range(len(marked) - n + 1)]
-    return out
+def word_features(words: list[str], p: ClassifierParams) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sizes): the buckets of all words one after another, and how many each word has.
 
+    A word has its own bucket and those of the character n-grams of `<word>`. All n-grams of all words are hashed at
+    once over the code points of the joined words; those that would cross from one word into the next are left out.
+    """
+    marked = [f"<{w}>" for w in words]
+    lengths = np.array([len(m) for m in marked], np.int64)
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    room = np.repeat(starts + lengths, lengths) - np.arange(len(points))  # characters from here to the word's end
+    buckets = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)]
+    owners = [np.arange(len(words))]
+    for n in p.ngrams:
+        h = np.full(max(len(points) - n + 1, 0), n, np.uint32)
+        for k in range(n):
+            h = h * np.uint32(0x01000193) + points[k : len(points) - n + 1 + k]
+            h ^= h >> np.uint32(13)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        inside = room[: len(h)] >= n
+        buckets.append(h[inside])
+        owners.append(owner[: len(h)][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(buckets)[order] & np.uint32(p.buckets - 1)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
-#: Words whose features are remembered while learning.
-KNOWN_WORDS = 50_000
 
 #: Word bigrams and trigrams count by their pattern: a word that comes again after one, two or three places.
 GAPS = (1, 2, 3)
@@ -66,27 +76,18 @@ def pattern_features(words: list[str], p: ClassifierParams) -> list[tuple[int, i
     return [(zlib.crc32(b"gap%d" % g) & (p.buckets - 1), PATTERN_WEIGHT * sum(map(operator.eq, words, words[g:]))) for g in GAPS]
 
 
-def document_features(text: str, p: ClassifierParams, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none. known: features of some words."""
+def document_features(text: str, p: ClassifierParams) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none."""
     words = text.split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    parts: list[np.ndarray] = []
-    counts: list[int] = []
-    for word, n in Counter(words).items():
-        if (own := known.get(word)) is None:
-            own = np.array(word_features(word, p), np.int32)
-            if len(known) >= KNOWN_WORDS:
-                known.clear()
-            known[word] = own
-        parts.append(own)
-        counts.append(n)
-    for bucket, n in pattern_features(words, p):
-        if n:
-            parts.append(np.array([bucket], np.int32))
-            counts.append(n)
-    unique, at = np.unique(np.concatenate(parts), return_inverse=True)
-    weights = np.bincount(at, weights=np.repeat(np.array(counts, np.float64), [len(x) for x in parts]))
+    seen = Counter(words)
+    buckets, sizes = word_features(list(seen), p)
+    patterns = [(b, n) for b, n in pattern_features(words, p) if n]
+    every = np.concatenate([buckets, np.array([b for b, _ in patterns], np.int32)])
+    counts = np.concatenate([np.repeat(np.array(list(seen.values()), np.float64), sizes), np.array([n for _, n in patterns], np.float64)])
+    unique, at = np.unique(every, return_inverse=True)
+    weights = np.bincount(at, weights=counts)
     return unique, (weights / weights.sum()).astype(np.float32)
 
 
@@ -108,9 +109,7 @@ def fit(texts: list[str], labels: list[int], p: ClassifierParams = ClassifierPar
     if len(set(labels)) < 2:
         return FoldedModel(np.zeros(p.buckets, np.float32), prior)
     rng = np.random.default_rng(p.seed)
-    known: dict[str, np.ndarray] = {}
-    docs = [document_features(t, p, known) for t in texts]
-    known.clear()
+    docs = [document_features(t, p) for t in texts]
     rows = rng.uniform(-1.0, 1.0, (p.buckets, p.dim)).astype(np.float32) / p.dim
     out = np.zeros((2, p.dim), np.float32)
     bias = np.array([0.0, prior], np.float32)
@@ -161,23 +160,32 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: ClassifierParams, id_
 
 
 def _scorer(saved: bytes, p: ClassifierParams):
-    """A function from a text to its score, with the words seen lately remembered."""
+    """A function from texts to their scores. What words add is worked out for many new words at once, and remembered up to a bound."""
     values = np.frombuffer(saved, "<f4")
-    bias, margin = float(values[-1]), values[:-1].tolist()
-
-    def folded(word: str) -> complex:
-        own = word_features(word, p)
-        return complex(sum([margin[i] for i in own]), len(own))
-
-    known = Memo(folded, p.cache)
-
-    def score_of(text: str) -> float:
-        words = text.split()
-        total = sum(map(known.__getitem__, words), 0j)
-        for bucket, n in pattern_features(words, p):
-            total += complex(n * margin[bucket], n)
-        z = bias + (total.real / total.imag if total.imag else 0.0)
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    bias, margin = float(values[-1]), values[:-1].astype(np.float64)
+    known: dict[str, complex] = {}  # what the word's buckets add up to, and how many they are
+
+    def learn(words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            buckets, sizes = word_features(part, p)
+            sums = np.add.reduceat(margin[buckets], np.cumsum(sizes) - sizes)
+            known.update(zip(part, (sums + 1j * sizes).tolist(), strict=True))
+
+    def score_of(texts: list[str]) -> list[float]:
+        split = [text.split() for text in texts]
+        wanted = set().union(*split)
+        if len(known) + len(wanted) > p.cache:
+            known.clear()
+        learn([w for w in wanted if w not in known])
+        out = []
+        for words in split:
+            total = sum(map(known.__getitem__, words), 0j)
+            for bucket, n in pattern_features(words, p):
+                total += complex(n * margin[bucket], n)
+            z = bias + (total.real / total.imag if total.imag else 0.0)
+            out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
+        return out
 
     return score_of
 
@@ -190,9 +198,9 @@ def score(docs: DataFrame, model: FoldedModel, p: ClassifierParams, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _scorer(saved.value, p)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                scores = [score_of(text) for text in batch.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                scores = score_of(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -208,9 +216,10 @@ def keep_good(docs: DataFrame, model: FoldedModel, p: ClassifierParams, threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _scorer(saved.value, p)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield batch.filter(pa.array([score_of(text or "") >= threshold for text in batch.column(place).to_pylist()], pa.bool_()))
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                scores = score_of([text or "" for text in batch.column(place).to_pylist()])
+                yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

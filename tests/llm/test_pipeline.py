@@ -35,7 +35,7 @@ def test_quality_stage(spark, data_dir):
     p = ClassifierParams()
     train = [r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
     score_of = _scorer(fit(*training_sample(docs, labels.where(labels.doc_id.isin(train)), p), p).save(), p)
-    want = [r["doc_id"] for r in docs.collect() if score_of(r["text"]) >= corpus_pipeline.QUALITY_THRESHOLD]
+    want = [r["doc_id"] for r in docs.collect() if score_of([r["text"]])[0] >= corpus_pipeline.QUALITY_THRESHOLD]
     assert ids(kept) == sorted(want, key=repr) and 0 < len(want)
 
 

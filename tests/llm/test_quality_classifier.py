@@ -1,8 +1,10 @@
+import math
 import zlib
 
+import numpy as np
 from fixtures import documents, empty, rows
 
-from ionweave.llm.quality_classifier import ClassifierParams, FoldedModel, _scorer, document_features, fit, quality_classifier
+from ionweave.llm.quality_classifier import ClassifierParams, FoldedModel, _scorer, document_features, fit, quality_classifier, word_features
 
 
 def test_folded_score_is_the_models():
@@ -10,12 +12,23 @@ def test_folded_score_is_the_models():
     model = fit(["good clean words here", "bad!! bad!! bad!!", "more good clean words", "bad!! junk!!"], [1, 0, 1, 0], p)
     score_of = _scorer(model.save(), p)
     for text in ("good words", "bad!! bad!!", "nothing seen", "a a a b"):
-        ids, weights = document_features(text, p, {})
-        import math
-
+        ids, weights = document_features(text, p)
         z = float(weights @ model.margins[ids]) + model.bias
-        assert abs(score_of(text) - 1 / (1 + math.exp(-z))) < 1e-4
-    assert score_of("") == score_of(" \n")
+        assert abs(score_of([text])[0] - 1 / (1 + math.exp(-z))) < 1e-4
+    texts = ["good words", "", "bad!! é 日本", " \n", "x" * 3000]
+    assert score_of(texts) == [score_of([t])[0] for t in texts]
+    assert score_of([""]) == score_of([" \n"])
+
+
+def test_features_are_the_words_own():
+    p = ClassifierParams(buckets=1 << 18)
+    words = ["ab", "a", "日本語", "abc", "a"]
+    buckets, sizes = word_features(words, p)
+    parts = np.split(buckets, np.cumsum(sizes)[:-1])
+    assert sizes.tolist() == [1 + len(w) + 2 - 2 + max(len(w) + 2 - 3, 0) for w in words]
+    for w, part in zip(words, parts):
+        assert part.tolist() == word_features([w], p)[0].tolist()
+    assert parts[1].tolist() == parts[4].tolist() and parts[1].tolist() != parts[0].tolist()[:3]
 
 
 def test_held_out_accuracy(spark):
