@@ -3,7 +3,7 @@
 P(w | h) = d(c(hw)) c(hw) / c(h) if hw was seen, else alpha(h) P(w | h without its first word), with Good-Turing
 discounts d and alpha(h) such that the sum over all words, the unknown one included, is exactly 1.
 
-Whole texts are turned into blocks of about a million tokens: a local vocabulary of word hashes and an index per token.
+Whole texts are turned into blocks of about half a million tokens: a local vocabulary of word hashes and an index per token.
 Everything gathered from the corpus is exchanged between blocks and buckets of n-gram hashes, as packed arrays: a block sends each
 distinct n-gram once with its count, so a word or pair that fills the corpus arrives once per block; a bucket owns the n-grams of its
 range and answers each block with the totals. Buckets grow in number with the corpus, and so does what is sent. The
@@ -33,7 +33,7 @@ K = 5
 @dataclass(frozen=True)
 class KatzParams:
     order: int = 2
-    block_tokens: int = 1_000_000
+    block_tokens: int = 500_000
     bucket_tokens: int = 3_000_000  # tokens of the corpus for each bucket
     folds: int = 7
     held: int = 2
