@@ -348,7 +348,7 @@ def build_label(kind: Column, number: Column, charge: Column) -> Column:
 
 
 def isotope_distribution(counts: dict[str, int], least: float = 0.001, most: int = 40) -> list[float]:
-    """Shares of 0, 1, 2 ... extra neutrons, the largest one being 1, up to the first below `least` behind it."""
+    """Shares of 0, 1, 2 ... extra neutrons up to and with the first whose probability is at most `least`, the largest being 1."""
     import numpy as np
 
     def power(p: np.ndarray, n: int) -> np.ndarray:
@@ -362,10 +362,9 @@ def isotope_distribution(counts: dict[str, int], least: float = 0.001, most: int
 
     parts = [power(np.array(ABUNDANCE[e]), n) for e, n in counts.items() if n > 0]
     whole = reduce(lambda a, b: np.convolve(a, b)[:most], parts, np.ones(1))
-    whole = whole / whole.max()
-    top = int(whole.argmax())
-    small = np.flatnonzero(whole[top:] < least)
-    return whole[: top + int(small[0]) if len(small) else None].tolist()
+    small = np.flatnonzero(whole <= least)
+    kept = whole[: int(small[0]) + 1 if len(small) else None]
+    return (kept / kept.max()).tolist()
 
 
 def sequence_formula(sequence: str) -> dict[str, int]:
@@ -376,16 +375,18 @@ def sequence_formula(sequence: str) -> dict[str, int]:
     return total
 
 
-# Elements of the average residue and its mass.
-AVERAGINE = {"C": 4.9384, "H": 7.7583, "N": 1.3577, "O": 1.4773, "S": 0.0417}
-AVERAGINE_MASS = 111.1254
+# Elements of the average residue.
+AVERAGINE = {"C": 4.94, "H": 7.76, "N": 1.36, "O": 1.48, "S": 0.04}
+AVERAGINE_MASS = sum(AVERAGE[e] * n for e, n in AVERAGINE.items())
 
 
 @cache
 def averagine(mass: float) -> tuple[float, ...]:
-    """Isotope shares of an average peptide of that mass."""
+    """Isotope shares of an average peptide; hydrogens make up for the rounding of the other elements."""
     units = mass / AVERAGINE_MASS
-    return tuple(isotope_distribution({e: round(n * units) for e, n in AVERAGINE.items()}))
+    counts = {e: math.floor(n * units + 0.5) for e, n in AVERAGINE.items()}
+    counts["H"] += math.floor(mass - sum(AVERAGE[e] * n for e, n in counts.items()) + 0.5)
+    return tuple(isotope_distribution(counts))
 
 
 def averagine_table(low: int = 300, high: int = 10_000, step: int = 10) -> dict[int, tuple[float, ...]]:

@@ -29,12 +29,13 @@ def cosine(a: Column, b: Column, floor: float = 1e-5, places: int | None = 4) ->
 
 
 def _shares(v: Column, floor: float) -> Column:
-    raised = F.transform(v, lambda x: F.greatest(x.cast("double"), F.lit(floor)))
+    """Values below zero become `floor`, every one is raised by it, and all add up to 1."""
+    raised = F.transform(v, lambda x: F.when(x < 0, F.lit(floor)).otherwise(x.cast("double")) + F.lit(floor))
     return F.transform(raised, lambda x: x / total(raised))
 
 
-def kl_divergence(p: Column, q: Column, floor: float = 1e-6) -> Column:
-    """Natural logarithm; values are raised to `floor` and made to add up to 1."""
+def kl_divergence(p: Column, q: Column, floor: float = 1e-5) -> Column:
+    """Natural logarithm, of shares that are never zero."""
     return total(F.zip_with(_shares(p, floor), _shares(q, floor), lambda x, y: x * F.log(x / y)))
 
 
@@ -165,8 +166,9 @@ def sparse_stats(m: Column, size: int) -> Column:
     return F.struct(F.array_max(with_zero).alias("max"), F.array_min(with_zero).alias("min"), mean.alias("mean"), F.sqrt(spread / size).alias("sigma"), middle.alias("median"))
 
 
-def kl_by_sum(p: Column, q: Column, floor: float = 1e-6) -> Column:
-    """The row form: shares of p times the sum of all base-2 log ratios."""
-    a, b = _shares(p, floor), _shares(q, floor)
+def kl_by_sum(p: Column, q: Column, floor: float = 1e-5) -> Column:
+    """The row form: shares, raised to `floor`, of p times the sum of all base-2 log ratios."""
+    own = lambda v: F.transform(v, lambda x: F.greatest(x / F.when(total(v) < 0, F.lit(floor)).otherwise(total(v)), F.lit(floor)))
+    a, b = own(p), own(q)
     logs = total(F.zip_with(a, b, lambda x, y: F.log2(x / y)))
     return total(F.transform(a, lambda x: x * logs))

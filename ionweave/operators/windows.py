@@ -158,20 +158,22 @@ def extrema(df: DataFrame, by: list[str], order: str, value: str, precision: flo
 
 
 def smoothed(df: DataFrame, by: list[str], order: str, value: str, kernel: list[float], name: str = "smoothed") -> DataFrame:
-    """Dot product of the kernel with the centred window; beyond the ends stands the mean of the first / last half window."""
-    half = len(kernel) // 2
+    """Dot product of the kernel with the centred window; beyond the ends stands the mean of the first / last half window and its centre.
+
+    Sequences no longer than the kernel stay as they are.
+    """
+    half = (len(kernel) - 1) // 2
     every = Window.partitionBy(*by)
     w = every.orderBy(order)
     back = every.orderBy(F.desc(order))
-    size = max(half, 1)
-    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_j", F.row_number().over(back))
-    rows = rows.withColumn("_head", F.avg(F.when(F.col("_i") <= size, F.col(value))).over(every)).withColumn("_tail", F.avg(F.when(F.col("_j") <= size, F.col(value))).over(every))
+    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_j", F.row_number().over(back)).withColumn("_n", F.count("*").over(every))
+    rows = rows.withColumn("_head", F.avg(F.when(F.col("_i") <= half + 1, F.col(value))).over(every)).withColumn("_tail", F.avg(F.when(F.col("_j") <= half + 1, F.col(value))).over(every))
     total = F.lit(0.0)
     for k, weight in enumerate(kernel):
         shift = k - half
         near = F.col(value) if shift == 0 else F.lag(value, -shift).over(w) if shift < 0 else F.lead(value, shift).over(w)
         total = total + F.lit(float(weight)) * F.coalesce(near, F.col("_head") if shift < 0 else F.col("_tail"))
-    return rows.withColumn(name, total).drop("_i", "_j", "_head", "_tail")
+    return rows.withColumn(name, F.when(F.col("_n") > len(kernel), total).otherwise(F.col(value))).drop("_i", "_j", "_n", "_head", "_tail")
 
 
 def trapezoid(df: DataFrame, by: list[str], x: str, y: str, name: str = "area") -> DataFrame:

@@ -25,7 +25,7 @@ def cosine_sim(t):
 
 
 @query(f"""
-WITH r AS (SELECT vec_id, list_transform(x, lambda v: greatest(v, 1e-6)) AS p, list_transform(y, lambda v: greatest(v, 1e-6)) AS q FROM {_PAIRS}),
+WITH r AS (SELECT vec_id, list_transform(x, lambda v: CASE WHEN v < 0 THEN 1e-5 ELSE v END + 1e-5) AS p, list_transform(y, lambda v: CASE WHEN v < 0 THEN 1e-5 ELSE v END + 1e-5) AS q FROM {_PAIRS}),
 s AS (SELECT vec_id, unnest(p) / list_sum(p) AS p, unnest(q) / list_sum(q) AS q FROM r)
 SELECT vec_id, round(sum(p * ln(p / q)), 6) AS kl FROM s GROUP BY 1""")
 def kl_div(t):

@@ -448,8 +448,8 @@ _SMOOTH = " + ".join(f"{w!r} * coalesce({'lag' if k < 2 else 'lead'}(v, {abs(k -
 
 @query(f"""
 WITH i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY frame) AS i, row_number() OVER (PARTITION BY event_type ORDER BY frame DESC) AS j FROM {_DAYS}),
-p AS (SELECT *, avg(v) FILTER (i <= 2) OVER (PARTITION BY event_type) AS h, avg(v) FILTER (j <= 2) OVER (PARTITION BY event_type) AS e FROM i)
-SELECT event_type, frame, round({_SMOOTH}, 4) AS smoothed FROM p WINDOW w AS (PARTITION BY event_type ORDER BY frame)""")
+p AS (SELECT *, avg(v) FILTER (i <= 3) OVER (PARTITION BY event_type) AS h, avg(v) FILTER (j <= 3) OVER (PARTITION BY event_type) AS e, count(*) OVER (PARTITION BY event_type) AS n FROM i)
+SELECT event_type, frame, round(CASE WHEN n <= 5 THEN v ELSE {_SMOOTH} END, 4) AS smoothed FROM p WINDOW w AS (PARTITION BY event_type ORDER BY frame)""")
 def smooth_sg(t):
     return windows.smoothed(hourly(t), ["event_type"], "frame", "v", _SG).select("event_type", "frame", F.round("smoothed", 4).alias("smoothed"))
 

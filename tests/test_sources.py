@@ -150,8 +150,10 @@ def test_decoy_fragments(spark):
     assert decoy["peptide"] == "ASDEFGHVK"
     for ion in decoy["ions"]:
         want = chem.fragment_mz("ASDEFGHVK", ion["kind"], 1)[ion["number"] - 1]
-        off = 0.1 if ion["number"] == 1 else 0.0
-        assert ion["mz"] == pytest.approx(want + off, abs=1e-6)
+        assert ion["mz"] == pytest.approx(want, abs=1e-6)
+    early = next(r for r in library.with_decoys(library.with_ions(spark.createDataFrame(row, library.schema.LIBRARY), 0.0, 5000.0), terminal=True).collect() if r["is_decoy"])
+    first = {i["label"]: i["mz"] for i in early["ions"]}
+    assert first["b1"] == pytest.approx(ions[0] + chem.RESIDUE_MASS["S"] - chem.RESIDUE_MASS["C"], abs=1e-6)
 
 
 def test_labels_are_inferred(spark):
