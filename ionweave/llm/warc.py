@@ -94,7 +94,8 @@ def write_warc(
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body"))
     marks = space.write(rows.where(F.octet_length("body") >= min_revisit).select("id", F.unhex(F.sha1("body")).alias("sha")), "digests")
     firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    # many rows may share one payload; they are narrow, and the skew join splits them
+    # written, so that the join deals both sides itself: many rows may share one payload, and the skew join then splits them
+    firsts = space.write(firsts, "firsts")
     revisits = space.write(marks.join(firsts, "sha").where("first is not null and not (id <=> first)").distinct(), "revisits")
     told = rows.withColumn("sha", F.unhex(F.sha1("body")))
     again = revisits.select(F.col("id").alias("i"), F.col("sha").alias("s"), "first")
