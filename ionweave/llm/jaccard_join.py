@@ -307,7 +307,8 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
     groups = connected_components(space, edges, "groups").withColumnRenamed("node", "sid")
     shape = groups.join(sets.select("sid", "n"), "sid").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("m") / F.lit(p.verify_rows)), F.ceil(F.col("shingles") * 8 / F.lit(p.verify_bytes)))
-    wanted = space.write(groups.join(shape.select("component", parts.alias("parts")), "component").join(sets, "sid"), "wanted")
+    shape = space.write(shape.select("component", parts.alias("parts")), "shape")  # written, as are other sums that are joined back
+    wanted = space.write(groups.join(shape, "component").join(sets, "sid"), "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -327,6 +328,7 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
 
     classes = connected_components(space, checked.where("kind = 1").select("a", "b"), "classes")
     least = classes.join(sets.select(F.col("sid").alias("node"), "min_doc"), "node").groupBy("component").agg(F.min("min_doc").alias("class_id"))
+    least = space.write(least, "least")
     of_set = classes.join(least, "component").select(F.col("node").alias("sid"), "component", "class_id")
     links = checked.where("kind = 0").groupBy(F.col("a").alias("sid")).agg(F.sum("b").alias("links"))
     known = sets.select("sid", "set_key", "copies", "min_doc").join(of_set, "sid", "left").join(links, "sid", "left")
