@@ -31,7 +31,7 @@ class JoinParams:
     bands: int = 30  # a pair at the threshold misses all of them with probability 7e-6
     rows: int = 5
     tolerance: float = 1e-6  # a pair is dropped when it reaches the threshold with less than this probability
-    bucket_block: int = 4_096  # sets of a bucket that are compared in one task
+    bucket_block: int = 512  # sets of a bucket, or of each of two parts of it, that are compared in one task
     verify_rows: int = 512  # sets, and bytes of their shingles, in a block of the exact comparison
     verify_bytes: int = 4 << 20
     seed: int = 5
