@@ -113,11 +113,11 @@ def fit(texts: list[str], labels: list[int], p: ClassifierParams = ClassifierPar
     rows = rng.uniform(-1.0, 1.0, (p.buckets, p.dim)).astype(np.float32) / p.dim
     out = np.zeros((2, p.dim), np.float32)
     bias = np.array([0.0, prior], np.float32)
-    steps, step = p.epochs * len(docs), 0
+    steps, done = p.epochs * len(docs), 0
     for _ in range(p.epochs):
         for i in rng.permutation(len(docs)):
-            rate = p.rate * (1 - step / steps)
-            step += 1
+            rate = p.rate * (1 - done / steps)
+            done += 1
             ids, weights = docs[i]
             if not len(ids):
                 continue
@@ -129,10 +129,13 @@ def fit(texts: list[str], labels: list[int], p: ClassifierParams = ClassifierPar
             error = -chance
             error[labels[i]] += 1.0
             back = error @ out
-            out += rate * np.outer(error, hidden)
-            bias += rate * 0.1 * error
-            # the mean's share of each row is tiny; scaling by the number of rows keeps one step per document
-            rows[ids] = own + rate * np.outer(weights * len(ids), back) / math.sqrt(len(ids))
+            # steps are divided by what they move the logits by, so that no document, however few or heavy its rows, overshoots
+            step = rate / (1.0 + float(hidden @ hidden) + float((out * out).sum()) / 2)
+            out += step * np.outer(error, hidden)
+            bias += step * 0.1 * error
+            rows[ids] = own + np.outer(weights * (step / float(weights @ weights)), back)
+    if not np.isfinite(rows).all() or not np.isfinite(out).all():
+        raise FloatingPointError("the classifier's weights are not finite")
     return FoldedModel(rows @ (out[1] - out[0]), float(bias[1] - bias[0]))
 
 

@@ -63,3 +63,15 @@ def test_bounds_of_the_sample(spark):
     texts, ys = training_sample(docs, labels, ClassifierParams(max_rows=50, max_chars=20_000))
     assert 0 < len(texts) <= 50 and sum(map(len, texts)) <= 20_000 and len(texts) == len(ys)
     assert isinstance(fit([], []), FoldedModel)
+
+
+def test_learning_stays_finite_on_heavy_documents():
+    import random
+
+    rng = random.Random(1)
+    clean = [" ".join(f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('nrst')}" for _ in range(80)) for _ in range(150)]
+    heavy = ["of " * rng.randrange(50, 4000) for _ in range(60)] + [("is onhe. " * 300) + c for c in clean[:20]] + ["x"] * 10
+    model = fit(clean + heavy, [1] * len(clean) + [0] * len(heavy), ClassifierParams())
+    assert np.isfinite(model.margins).all() and math.isfinite(model.bias)
+    scores = _scorer(model.save(), ClassifierParams())(clean + heavy)
+    assert min(scores[: len(clean)]) > 0.7 and max(scores[len(clean) :]) < 0.5
