@@ -63,7 +63,7 @@ def flight(chance: np.ndarray, size: np.ndarray, land: bool) -> np.ndarray:
     The documents are taken in the order given: three undecided ones have a direction that keeps both sums, and the
     step along it ends where one of them is decided. Which way is drawn from a generator seeded by the sizes.
     """
-    chance = chance.astype(np.float64).copy()
+    chance = chance.astype(np.float64)
     rng = np.random.default_rng([len(chance), int(size.sum()) & 0xFFFFFFFF])
     draws = rng.random(len(chance) + 3).tolist()
     p, s = chance.tolist(), size.astype(np.float64).tolist()
@@ -94,7 +94,33 @@ def flight(chance: np.ndarray, size: np.ndarray, land: bool) -> np.ndarray:
         best = min(picks, key=lambda x: (abs(sum(s[j] * y for j, y in zip(active, x, strict=True)) - want_words), abs(sum(x) - want_docs), x))
         for j, y in zip(active, best, strict=True):
             p[j] = float(y)
-    return np.array([0.0 if x <= EPS else 1.0 if x >= 1 - EPS else x for x in p])
+    out = np.array([0.0 if x <= EPS else 1.0 if x >= 1 - EPS else x for x in p])
+    return exchanged(out, chance, size) if land else out
+
+
+def exchanged(taken: np.ndarray, chance: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """After landing: the one exchange of a taken with an untaken document that brings the words nearest to what was asked for.
+
+    The flight leaves the largest and the smallest document to the end, so landing alone may miss by half a large one.
+    Only documents that had a choice take part, and all of a source had the same chance.
+    """
+    free = (chance > EPS) & (chance < 1 - EPS)
+    missing = float(((chance - taken) * size).sum())
+    inside, outside = np.flatnonzero(free & (taken > 0.5)), np.flatnonzero(free & (taken < 0.5))
+    if not len(inside) or not len(outside) or abs(missing) < 1:
+        return taken
+    outside = outside[np.argsort(size[outside], kind="stable")]
+    wanted = size[inside] + missing
+    at = np.clip(np.searchsorted(size[outside], wanted), 1, max(len(outside) - 1, 1))
+    best = None
+    for k in (at - 1, np.minimum(at, len(outside) - 1)):
+        off = np.abs(size[outside[k]] - wanted)
+        i = int(off.argmin())
+        if best is None or off[i] < best[0]:
+            best = (float(off[i]), int(inside[i]), int(outside[k[i]]))
+    if best[0] < abs(missing):
+        taken[best[1]], taken[best[2]] = 0.0, 1.0
+    return taken
 
 
 FLOWN = "uid long, sid long, size long, chance double"
