@@ -56,8 +56,31 @@ RESIDUES = {
 }
 
 # The residue that a decoy has in place of another one.
-DECOY_FROM = "GAVLXIFMPWSCUTYHKRQEND"
-DECOY_TO = "LLLVVVLLLLTSSSSSLLNDQE"
+DECOY_RESIDUE = {
+    "G": "L",
+    "A": "L",
+    "V": "L",
+    "L": "V",
+    "X": "V",
+    "I": "V",
+    "F": "L",
+    "M": "L",
+    "P": "L",
+    "W": "L",
+    "S": "T",
+    "C": "S",
+    "U": "S",
+    "T": "S",
+    "Y": "S",
+    "H": "S",
+    "K": "L",
+    "R": "L",
+    "Q": "N",
+    "E": "D",
+    "N": "Q",
+    "D": "E",
+}
+DECOY_FROM, DECOY_TO = "".join(DECOY_RESIDUE), "".join(DECOY_RESIDUE.values())
 
 # What the exchange of a residue adds to the indexed retention time.
 IRT_SHIFT = {
@@ -86,36 +109,83 @@ IRT_SHIFT = {
 }
 
 # Masses of the modifications that a sequence may name, by number or name.
-MODIFICATIONS = {
-    57.021464: ["UniMod:4", "Carbamidomethyl (C)", "Carbamidomethyl", "CAM", "+57", "+57.0"],
-    39.994915: ["UniMod:26", "PCm"],
-    43.005814: ["UniMod:5", "Carbamylation (KR)", "+43", "+43.0", "CRM"],
-    0.984016: ["UniMod:7", "Deamidation (NQ)", "Deamidation", "Dea", "+1", "+1.0"],
-    15.994915: ["UniMod:35", "Oxidation (M)", "Oxidation", "Oxi", "+16", "+16.0"],
-    42.010565: ["UniMod:1", "Acetyl (Protein N-term)", "+42", "+42.0"],
-    28.0313: ["UniMod:255", "AAR"],
-    26.01565: ["UniMod:254", "AAS"],
-    27.994915: ["UniMod:122", "Frm"],
-    128.094963: ["UniMod:1301", "+1K"],
-    156.101111: ["UniMod:1288", "+1R"],
-    -18.010565: ["UniMod:27", "PGE", "UniMod:23", "Dhy"],
-    -17.026549: ["UniMod:28", "PGQ", "UniMod:385", "dAm"],
-    -48.003371: ["UniMod:526", "DTM"],
-    31.989829: ["UniMod:325", "2Ox"],
-    15.010899: ["UniMod:342", "Amn"],
-    114.042927: ["UniMod:1290", "2CM"],
-    13.979265: ["UniMod:359", "PGP"],
-    21.981943: ["UniMod:30", "NaX"],
-    -2.01565: ["UniMod:401", "-2H"],
-    14.999666: ["UniMod:528", "MDe"],
-    125.896648: ["UniMod:129", "Iod"],
-    79.966331: ["UniMod:21", "Phosphorylation (ST)", "+80", "+80.0"],
-    8.014199: ["UniMod:259", "Lys8"],
-    10.008269: ["UniMod:267", "Arg10"],
-    6.013809: ["UniMod:268"],
-    10.027228: ["UniMod:269"],
+MODIFICATION_MASS = {
+    "UniMod:4": 57.021464,
+    "Carbamidomethyl (C)": 57.021464,
+    "Carbamidomethyl": 57.021464,
+    "CAM": 57.021464,
+    "+57": 57.021464,
+    "+57.0": 57.021464,
+    "UniMod:26": 39.994915,
+    "PCm": 39.994915,
+    "UniMod:5": 43.005814,
+    "Carbamylation (KR)": 43.005814,
+    "+43": 43.005814,
+    "+43.0": 43.005814,
+    "CRM": 43.005814,
+    "UniMod:7": 0.984016,
+    "Deamidation (NQ)": 0.984016,
+    "Deamidation": 0.984016,
+    "Dea": 0.984016,
+    "+1": 0.984016,
+    "+1.0": 0.984016,
+    "UniMod:35": 15.994915,
+    "Oxidation (M)": 15.994915,
+    "Oxidation": 15.994915,
+    "Oxi": 15.994915,
+    "+16": 15.994915,
+    "+16.0": 15.994915,
+    "UniMod:1": 42.010565,
+    "Acetyl (Protein N-term)": 42.010565,
+    "+42": 42.010565,
+    "+42.0": 42.010565,
+    "UniMod:255": 28.0313,
+    "AAR": 28.0313,
+    "UniMod:254": 26.01565,
+    "AAS": 26.01565,
+    "UniMod:122": 27.994915,
+    "Frm": 27.994915,
+    "UniMod:1301": 128.094963,
+    "+1K": 128.094963,
+    "UniMod:1288": 156.101111,
+    "+1R": 156.101111,
+    "UniMod:27": -18.010565,
+    "PGE": -18.010565,
+    "UniMod:28": -17.026549,
+    "PGQ": -17.026549,
+    "UniMod:526": -48.003371,
+    "DTM": -48.003371,
+    "UniMod:325": 31.989829,
+    "2Ox": 31.989829,
+    "UniMod:342": 15.010899,
+    "Amn": 15.010899,
+    "UniMod:1290": 114.042927,
+    "2CM": 114.042927,
+    "UniMod:359": 13.979265,
+    "PGP": 13.979265,
+    "UniMod:30": 21.981943,
+    "NaX": 21.981943,
+    "UniMod:401": -2.01565,
+    "-2H": -2.01565,
+    "UniMod:528": 14.999666,
+    "MDe": 14.999666,
+    "UniMod:385": -17.026549,
+    "dAm": -17.026549,
+    "UniMod:23": -18.010565,
+    "Dhy": -18.010565,
+    "UniMod:129": 125.896648,
+    "Iod": 125.896648,
+    "Phosphorylation (ST)": 79.966331,
+    "UniMod:21": 79.966331,
+    "+80": 79.966331,
+    "+80.0": 79.966331,
+    "UniMod:259": 8.014199,
+    "Lys8": 8.014199,
+    "UniMod:267": 10.008269,
+    "Arg10": 10.008269,
+    "UniMod:268": 6.013809,
+    "UniMod:269": 10.027228,
 }
-MODIFICATION_MASS = {name: mass for mass, names in MODIFICATIONS.items() for name in names}
 
 _BRACKETS = r"[(\[][^)\]]*[)\]]"
 
@@ -242,7 +312,7 @@ def _lookup(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
 
 
-_DECOY_MASS = {a: RESIDUE_MASS[b] - RESIDUE_MASS[a] for a, b in zip(DECOY_FROM, DECOY_TO, strict=True) if a in RESIDUE_MASS}
+_DECOY_MASS = {a: RESIDUE_MASS[b] - RESIDUE_MASS[a] for a, b in DECOY_RESIDUE.items() if a in RESIDUE_MASS}
 
 
 def _penultimate(values: dict[str, float], sequence: Column) -> Column:
