@@ -17,8 +17,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Spark's setting that removes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of one 8-byte id that may be broadcast (about 30 MB); above it the same join is shuffled.
-BROADCAST_IDS = 500_000
+#: Rows of an id and a hash that may be broadcast (about 30 MB as a hash table); above it the same join is shuffled.
+BROADCAST_IDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
