@@ -150,8 +150,11 @@ def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     keyed = needles.where(n > 0).withColumn("_k", F.substring(F.col(needle), 1, width)).withColumn("_n", F.least(n, F.lit(width)))
     present = {r["_n"] for r in keyed.select("_n").distinct().collect()}  # at most `width` numbers
     def pieces(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(k))))
+        # a substring costs its distance from the start, so a long text is cut into overlapping pieces first
+        offsets = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(512))
+        parts = F.transform(offsets, lambda o: F.substring(F.col(text), o, F.lit(511 + k)))
+        windows = F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - k + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(k))))
+        return F.array_distinct(F.flatten(windows))
 
     spans = F.flatten(F.array(*[pieces(k) for k in lengths if k in present]))
     windows = texts.withColumn("_k", F.explode(spans)) if present else texts.withColumn("_k", F.lit(None).cast("string"))
