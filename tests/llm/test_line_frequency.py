@@ -6,7 +6,7 @@ from fixtures import documents, empty, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ionweave.llm.line_frequency import LineParams, covered_by_repeats, normal_line, quality_rules
+from ionweave.llm.line_frequency import LineParams, clean_documents, covered_by_repeats, normal_line, quality_rules
 
 
 def repeated(words, window=8):
@@ -72,6 +72,19 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert found[200]["kept"]
 
 
+@pytest.mark.parametrize("most_sent", [200_000, 0])
+def test_texts_lose_the_lines_and_nothing_else(spark, most_sent):
+    own = lambda i: f"  Own {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]} first\t日本 {' '.join(f'k{chr(97 + k)}' for k in range(20))}"
+    footer = "All   rights RESERVED 2024"
+    table = [(i, f"{footer}\n{own(i)}\n\n \n{footer.lower()}\nlast {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}\n", "en", "h") for i in range(30)]
+    table += [(100, f"{footer}\n{own(50)}", "en", "other"), (101, None, "en", None), (102, footer, "en", "h"), (102, footer, "en", "h")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    found = sorted((tuple(r) for r in clean_documents(docs, most_sent=most_sent).select("doc_id", "text", "n_words", "n_line_words", "kept").collect()), key=repr)
+    want = [(i, f"{own(i)}\n\n \nlast {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}\n", 34, 8, True) for i in range(30)]
+    want += [(100, f"{footer}\n{own(50)}", 28, 0, True), (101, "", 0, 0, False), (102, "", 4, 4, False), (102, "", 4, 4, False)]
+    assert found == sorted(want, key=repr)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(2, 8))
 def test_covered_words(words, window):
