@@ -45,8 +45,7 @@ def demux(t):
 @query()
 def spline_map(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    curve = learn.fit_curve(*learn.sampled_points(rows, "l_quantity", "l_extendedprice", "l_orderkey"))
-    return learn.apply_curve(rows, curve, "l_quantity", "predicted")
+    return learn.apply_curve(rows, learn.fit_curve_to(rows, "l_quantity", "l_extendedprice"), "l_quantity", "predicted")
 
 
 @query()

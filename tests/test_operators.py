@@ -150,3 +150,30 @@ def test_sets_and_samples(spark):
     assert top.count() == 200 and top.agg(F.min("v")).first()[0] == 45.0
     assert sets.in_parts(df, 4).select("part").distinct().count() == 4
     assert sets.training_prefix(df.withColumn("q", F.col("v") / 50), [F.asc("q"), F.asc("id")], "q", 100).count() == 1000
+
+
+def test_curves_are_fitted_to_all_points(spark):
+    from types import SimpleNamespace
+
+    from ionweave.operators import learn
+    from ionweave.plans import kernel_queries, search
+
+    n = 60_000
+    rows = spark.range(n).select(
+        F.col("id").alias("l_orderkey"),
+        F.lit(1).alias("l_linenumber"),
+        F.lit(1).alias("l_partkey"),
+        (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 1000.0).alias("l_quantity"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 100.0).alias("_noise"),
+    )
+    rows = rows.withColumn("l_extendedprice", F.sin(F.col("l_quantity") / 20) * 10 + F.col("_noise"))
+    found = kernel_queries.spline_map(SimpleNamespace(lineitem=rows)).toPandas()
+    assert len(found) == n
+    x, y = found["l_quantity"].to_numpy(), found["l_extendedprice"].to_numpy()
+    assert found["predicted"].to_numpy() == pytest.approx(learn.fit_curve(x, y)(x), abs=1e-6)
+    few = rows.where("l_orderkey < 7").toPandas()
+    x, y = few["l_quantity"].to_numpy(), few["l_extendedprice"].to_numpy()
+    assert learn.fit_curve_to(rows.where("l_orderkey < 7"), "l_quantity", "l_extendedprice")(x) == pytest.approx(learn.fit_curve(x, y)(x), abs=1e-6)
+    good = rows.select(F.col("l_quantity").alias("irt"), F.col("l_extendedprice").alias("anchor_time"), F.col("l_orderkey").alias("candidate"), F.lit(0.0).alias("q_value"), F.lit(False).alias("is_decoy"))
+    curve, sigma = search.calibrate(good)
+    assert len(curve.knots) == 20 and sigma == pytest.approx(10 / 12**0.5, rel=0.02)
