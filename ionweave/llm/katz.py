@@ -32,7 +32,7 @@ K = 5
 
 @dataclass(frozen=True)
 class KatzParams:
-    order: int = 2
+    order: int = 3
     block_tokens: int = 500_000
     bucket_tokens: int = 3_000_000  # tokens of the corpus for each bucket
     folds: int = 7

@@ -114,3 +114,17 @@ def test_packing():
     assert unpacked(packed(np.empty(0)), "<f8").shape == (0,)
     edges = katz.bucket_edges(keys, 7)
     assert edges[0] == 0 and edges[-1] == len(keys)
+
+
+def test_the_query_sees_contexts_of_two_words(spark, tmp_path):
+    from ionweave.llm.queries import op4_lm_scoring
+
+    rows = [(i, t, "en", "s") for i, t in enumerate(["a x b", "c x d"] * 60)]
+    rows += [(1000 + i, t, "en", "s") for i in range(60) for t in ("a x b", "c x b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["score"] for r in op4_lm_scoring(spark, str(tmp_path)).collect()}
+    b, d = found[0], found[1]
+    want = katz_scores(spark.read.parquet(str(tmp_path / "documents.parquet")), KatzParams(order=3))
+    assert {r["doc_id"]: r["score"] for r in want.collect()} == pytest.approx(found)
+    pairs = katz_scores(spark.read.parquet(str(tmp_path / "documents.parquet")), KatzParams(order=2))
+    assert abs({r["doc_id"]: r["score"] for r in pairs.collect()}[0] - b) > 0.05 and d != b
