@@ -66,8 +66,19 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, length, capacity)]
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else ids.astype("<u4").tobytes()
+
+
+def widened(raw: bytes, length: int) -> bytes:
+    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(raw) == 2 * length else raw
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern: str | None, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """A row (doc_id, piece, start, length, ids_crc32, ids) for each piece; ids are little-endian unsigned 32-bit."""
+    """A row (doc_id, piece, start, length, ids_crc32, ids) for each piece; the digest is of little-endian unsigned 32-bit ids.
+
+    ids are those, or 16-bit where all of a piece's fit: half of what travels with any vocabulary of up to 65,536 entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _coder(tokenizer_path, ranks_path, pattern)
@@ -79,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern
                     ids = np.append(encode(text), end_id).astype("<u4")
                     for n, (start, length) in enumerate(cut(len(ids), capacity)):
                         raw = ids[start : start + length].tobytes()
-                        for column, value in zip(out, (doc_id, n, start, length, zlib.crc32(raw), raw), strict=True):
+                        for column, value in zip(out, (doc_id, n, start, length, zlib.crc32(raw), narrow(ids[start : start + length])), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
@@ -186,6 +197,52 @@ def pack(table: DataFrame, space: Workspace, capacity: int, group: int = GROUP,
     return out.drop("settled"), report
 
 
+SEQUENCES = "sequence_id long, ids binary, pieces array<struct<offset: long, length: long, doc_id: long, piece: int, start: long>>"
+
+
+def packed_sequences(
+    docs: DataFrame,
+    tokenizer_path: str,
+    ranks_path: str | None = None,
+    pattern: str | None = None,
+    capacity: int = 2048,
+    end_id: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group: int = GROUP,
+) -> tuple[DataFrame, dict]:
+    """The sequences that best_fit_packing lays out, with their token ids: rows (sequence_id, ids, pieces), and the report.
+
+    ids are little-endian unsigned 32-bit, the pieces' ids in a row; pieces are structs (offset, length, doc_id, piece,
+    start) by offset. At most `capacity` ids come together in a group, so no group is large.
+    """
+    space = Workspace(docs.sparkSession, "packing")
+    cut_up = pieces(docs, tokenizer_path, ranks_path, pattern, capacity, end_id, id_col, text_col)
+    # a written row keeps its number, whichever task reads it
+    table = space.write(cut_up.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    packed, report = pack(table.drop("ids"), space, capacity, group)
+    placed = packed.drop("ids_crc32").hint("shuffle_merge").join(table.select("uid", "ids"), "uid")
+    held = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids"))).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                ids = [b"".join(widened(raw, n) for raw, n in zip(parts, lengths, strict=True)) for parts, lengths in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(3)], names=["sequence_id", "ids", "pieces"])
+
+    parts = held.select("sequence_id", F.col("held.ids").alias("parts"), F.col("held.length").alias("lengths"), F.transform("held", lambda x: x.dropFields("ids")).alias("pieces"))
+    return parts.mapInArrow(run, SEQUENCES), report
+
+
+def layout(sequences: DataFrame) -> DataFrame:
+    """A row (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece; the digest is taken from the sequence's ids."""
+    rows = sequences.select("sequence_id", "ids", F.explode("pieces").alias("p")).select("sequence_id", "ids", "p.*")
+    own = F.substring("ids", 4 * F.col("offset").cast("int") + 1, 4 * F.col("length").cast("int"))
+    return rows.select("doc_id", "piece", "start", "length", F.crc32(own).alias("ids_crc32"), "sequence_id", "offset")
+
+
 def best_fit_packing(
     docs: DataFrame,
     tokenizer_path: str,

@@ -29,10 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ionweave.llm.best_fit_packing import best_fit_packing
+    from ionweave.llm.best_fit_packing import layout, packed_sequences
 
     files = tokenizer_files()
-    return best_fit_packing(table(spark, sf_dir, "documents"), files["json"], files["ranks"], files["pattern"])[0]
+    return layout(packed_sequences(table(spark, sf_dir, "documents"), files["json"], files["ranks"], files["pattern"])[0])
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ionweave.llm.best_fit_packing import _coder, best_fit_decreasing, best_fit_packing, cut, lower_bound, pack
+from ionweave.llm.best_fit_packing import _coder, best_fit_decreasing, best_fit_packing, cut, layout, lower_bound, narrow, pack, packed_sequences, widened
 from ionweave.llm.common import Workspace
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +66,36 @@ def test_documents(spark, tokenizer):
     assert best_fit_packing(empty(spark), JSON, RANKS, files.PATTERN)[0].count() == 0
 
 
+def test_sequences_hold_the_documents_ids(spark, tokenizer):
+    sequences, report = packed_sequences(documents(spark), JSON, RANKS, files.PATTERN, 256)
+    sequences = sequences.cache()
+    parts = defaultdict(list)
+    for r in sequences.collect():
+        ids, at = np.frombuffer(r["ids"], "<u4").tolist(), 0
+        for p in r["pieces"]:
+            assert p["offset"] == at
+            at += p["length"]
+            parts[p["doc_id"], p["piece"], p["start"]].append(tuple(ids[p["offset"] : at]))
+        assert at == len(ids) <= 256
+    want = defaultdict(list)
+    for doc_id, text, *_ in rows():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for n, (s, size) in enumerate(cut(len(ids), 256)):
+            want[doc_id, n, s].append(tuple(ids[s : s + size]))
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sequences.count() == report["bins"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    key = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert key(layout(sequences)) == key(best_fit_packing(documents(spark), JSON, RANKS, files.PATTERN, 256)[0])
+    assert layout(packed_sequences(empty(spark), JSON, RANKS, files.PATTERN)[0]).count() == 0
+
+
+def test_ids_of_any_vocabulary_travel():
+    for ids in ([], [0, 65_535], [65_536, 1], [4_294_967_295]):
+        raw = np.array(ids, "<u4")
+        assert widened(narrow(raw), len(ids)) == raw.tobytes()
+
+
 def test_cut():
     assert cut(2048, 2048) == [(0, 2048)]
     assert cut(2049, 2048) == [(0, 1), (1, 2048)]
