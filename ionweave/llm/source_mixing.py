@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import Workspace, text_or_empty, word_count
 
 BLOCK = 4_096
+#: More flights than any table needs; what is undecided behind them is an error, never left out.
+MOST_FLIGHTS = 40
 EPS = 1e-9
 
 
@@ -123,36 +125,44 @@ def exchanged(taken: np.ndarray, chance: np.ndarray, size: np.ndarray) -> np.nda
     return taken
 
 
-FLOWN = "uid long, sid long, size long, chance double"
+FLOWN = "uid long, seed long, sid long, size long, chance double"
 
 
 def _fly(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
-    """One flight: sources with more than BLOCK undecided documents are dealt into blocks, the others land."""
+    """One flight: sources with more than BLOCK undecided documents are dealt into blocks, the others land.
+
+    Blocks and their order follow from `seed`, a hash of what the row says, so neither files nor cores change the choice.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         land = key[1].as_py() == 1
-        t = t.sort_by([("ord", "ascending"), ("uid", "ascending")])
+        t = t.sort_by([("ord", "ascending"), ("seed", "ascending"), ("size", "ascending"), ("uid", "ascending")])
         moved = flight(t["chance"].to_numpy(), t["size"].to_numpy(), land)
-        return t.select(["uid", "sid", "size"]).append_column("chance", pa.array(moved))
+        return t.select(["uid", "seed", "sid", "size"]).append_column("chance", pa.array(moved))
 
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
     dealt = rows.join(counts, "sid").select(
-        "uid", "sid", "size", "chance", blocks.alias("blocks"), F.xxhash64("uid", F.lit(salt)).alias("ord"), F.pmod(F.xxhash64("uid", F.lit(salt + 1000)), blocks).alias("block")
+        "uid", "seed", "sid", "size", "chance", blocks.alias("blocks"), F.xxhash64("seed", F.lit(salt)).alias("ord"), F.pmod(F.xxhash64("seed", F.lit(salt + 1000)), blocks).alias("block")
     )
     return dealt.groupBy("sid", "blocks", "block").applyInArrow(run, FLOWN)
 
 
 def decide(space: Workspace, rows: DataFrame) -> DataFrame:
-    """rows (uid, sid, size, chance; written) -> (uid, extra): 1 where the fraction is taken; rows without aren't returned."""
+    """rows (uid, seed, sid, size, chance; written) -> (uid, extra): 1 where the fraction is taken; rows without aren't returned.
+
+    A flight leaves two documents of a block of 2,048 to 4,096 or so, so the number of flights is a logarithm to about that base.
+    """
     undecided = rows.where((F.col("chance") > EPS) & (F.col("chance") < 1 - EPS))
     done = [rows.where(F.col("chance") >= 1 - EPS).select("uid", F.lit(1).alias("extra"))]
-    for k in range(40):
+    for k in range(MOST_FLIGHTS):
         counts = undecided.groupBy("sid").agg(F.count("*").alias("n"))
         flown = space.write(_fly(undecided, counts, k), f"flight-{k}")
         done.append(flown.where("chance = 1.0").select("uid", F.lit(1).alias("extra")))
         undecided = flown.where("chance > 0.0 and chance < 1.0")
         if undecided.isEmpty():
             break
+    else:
+        raise RuntimeError(f"documents are undecided after {MOST_FLIGHTS} flights")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -172,14 +182,18 @@ def mix_counts(
 
     size is the text's number of words (null text: 0); copies is how often the mix takes the document, at most
     `most`. Sources are ordered by code point, null is a source of its own and comes last; empty names are sources too.
-    A source without words has target 0 and takes nothing. Repeated rows are chosen each for themselves. Reruns on
-    the same files agree. An empty table gives no rows.
+    A source without words has target 0 and takes nothing. Repeated rows are chosen each for themselves. The choice
+    follows from the rows alone: reruns agree whatever the files, partitions and cores (uid numbers rows of this run only).
+    Texts of any length are counted whole. An empty table gives no rows; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "mixing")
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"))
-    # the number of a row follows from the row and, for repeated rows, from its place
-    sized = space.write(base.withColumn("uid", F.monotonically_increasing_id()), "sized")
+    # rows that are equal in all of this are told apart by their number among each other, which no order of rows can change
+    counted = base.groupBy("doc_id", "text_hash", "source", "size").agg(F.count("*").alias("row_count"))
+    each = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "row_count"))).drop("row_count")
+    seed = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_hash", "source", F.col("source").isNull(), "nth")
+    sized = space.write(each.select("doc_id", "text_hash", "source", "size", seed.alias("seed"), F.monotonically_increasing_id().alias("uid")), "sized")
     per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     goal = space.write(targets(space, per, weights, share, most).withColumn("sid", F.xxhash64("source", F.col("source").isNull())), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -187,7 +201,7 @@ def mix_counts(
     key = F.coalesce(F.col("source"), F.lit("")).alias("k"), F.col("source").isNull().alias("none")
     rated = sized.select("*", *key).join(goal.select("source_size", "target", "sid", F.floor(rate + EPS).alias("whole"), rate.alias("rate"), *key), ["k", "none"]).drop("k", "none")
     rated = space.write(rated.withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))), "rated")
-    extra = decide(space, rated.where("size > 0").select("uid", "sid", "size", "chance"))
+    extra = decide(space, rated.where("size > 0").select("uid", "seed", "sid", "size", "chance"))
     out = rated.join(extra, "uid", "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
     return out.select("uid", "doc_id", "text_hash", "source", "size", "source_size", "target", "copies")
 

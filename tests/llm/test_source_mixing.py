@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from fixtures import documents, empty, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,31 @@ def test_targets_and_totals(spark, data_dir):
     assert found[0]["size"] == len(docs.where(F.col("doc_id") == found[0]["doc_id"]).first()["text"].encode().split())
 
 
+def test_reruns_agree_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BLOCK", 64)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(50))
+    columns = ("doc_id", "text_hash", "source", "size", "target", "copies")
+    rows_of = lambda df: sorted((tuple(r) for r in mix_counts(df).select(*columns).collect()), key=repr)
+    first = rows_of(docs.repartition(1))
+    assert first == rows_of(docs.repartition(7)) == rows_of(docs.orderBy(F.desc("text")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert rows_of(docs) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_undecided_documents_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BLOCK", 16)
+    monkeypatch.setattr(source_mixing, "MOST_FLIGHTS", 1)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.lit("a b c").alias("text"))
+    with pytest.raises(RuntimeError):
+        mix_counts(docs).count()
+
+
 def test_cases(spark):
     found = mix_counts(documents(spark)).collect()
     assert sorted((r["doc_id"] for r in found), key=repr) == sorted((r[0] for r in rows()), key=repr)
