@@ -2,8 +2,8 @@
 
 A record's HTTP block uses chunked transfer framing; a block above segment_bytes is split into a first record and
 `continuation` records. Reading groups continuations by the identifier of their origin, orders them by segment number, checks the total
-length and decodes the chunks. Archives are gzip files of a bounded number of records, written and read through Spark's
-own file system layer, so any store that Spark reaches will do.
+length and decodes the chunks. Archives are files of a bounded number of records, each record a gzip member of its own, written
+and read through Spark's own file system layer, so any store that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import BROADCAST_IDS, Workspace
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16_384, 4_096, 4_096
+#: A gzip member ends with the highest byte of its content's size, which is 0 below 16 MiB.
+MEMBER_BYTES = 8 << 20
 _HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"
 
@@ -63,6 +65,17 @@ def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
+def member(record: bytes) -> bytes:
+    """The record and its two line ends as a gzip member; one above MEMBER_BYTES as several, which read as one."""
+    whole = record + b"\r\n\r\n"
+    return b"".join(zlib.compress(whole[i : i + MEMBER_BYTES], 6, 31) for i in range(0, len(whole), MEMBER_BYTES))
+
+
+def record_name(page: int | None, sha: bytes, url_hash: int, nth: int) -> str:
+    """The record id of a page's row, the same whoever writes it; rows that are equal in all this are numbered."""
+    return f"urn:page:{'' if page is None else page}:{sha.hex()[:16]}:{url_hash & 0xFFFFFFFFFFFFFFFF:x}" + (f":{nth}" if nth else "")
+
+
 def records(name: str, url: str, payload: bytes, refers_to: str | None, segment_bytes: int) -> list[bytes]:
     """The records of one page: a revisit, or a response with its continuations."""
     fields = [("WARC-Record-ID", f"<{name}>"), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}")]
@@ -87,38 +100,50 @@ def write_warc(
     """Writes an archive folder with a record for each row of pages.
 
     Of rows with equal payloads of at least min_revisit bytes, those with the smallest id are responses and the others
-    revisit it. A null payload is an empty one, a null url an empty one; a null id comes after all others. Rows that repeat an id and a payload
-    are all responses or all revisits. An empty table gives an empty folder.
+    revisit one of these: its record id stands in their WARC-Refers-To. A null payload is an empty one, a null url an empty
+    one; a null id comes after all others. Rows that repeat an id and a payload are all responses or all revisits.
+    Payloads of any length are cut into segments. An empty table gives an empty folder; other columns are ignored.
     """
     body = F.coalesce(payload if payload is not None else F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body"))
-    marks = space.write(rows.where(F.octet_length("body") >= min_revisit).select("id", F.unhex(F.sha1("body")).alias("sha")), "digests")
-    firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), body.alias("body"), F.unhex(F.sha1(body)).alias("sha"), F.xxhash64(url).alias("url_hash"))
+    marks = space.write(rows.select("id", "sha", "url_hash", (F.octet_length("body") >= min_revisit).alias("large")), "marks")
+    firsts = marks.where("large").groupBy("sha").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url_hash"))).alias("first"), F.count("*").alias("n"))
     # written, so that the join deals both sides itself: many rows may share one payload, and the skew join then splits them
-    firsts = space.write(firsts, "firsts")
-    revisits = space.write(marks.join(firsts, "sha").where("first is not null and not (id <=> first)").distinct(), "revisits")
-    told = rows.withColumn("sha", F.unhex(F.sha1("body")))
-    again = revisits.select(F.col("id").alias("i"), F.col("sha").alias("s"), "first")
-    on = F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s"))
-    if again.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        told = told.join(F.broadcast(again), on, "left")
-    else:
-        told = told.hint("shuffle_merge").join(again, on, "left")
-    named = told.select("id", "url", "body", "first", F.monotonically_increasing_id().alias("uid"))
+    firsts = space.write(firsts.where("n > 1 and first is not null").select("sha", "first"), "firsts")
+    revisits = space.write(marks.join(firsts, "sha").where("not (id <=> first.id)").select("id", "sha", "first").distinct(), "revisits")
+    # rows that repeat all of this are written from one of them, so that their numbers don't depend on who counts
+    again = space.write(marks.groupBy("id", "sha", "url_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    single = rows.withColumn("nth", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        grouped = _beside(rows, again, ["id", "sha", "url_hash"], "left_semi").groupBy("id", "sha", "url_hash").agg(F.first("url").alias("url"), F.first("body").alias("body"), F.count("*").alias("n"))
+        numbered = grouped.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        single = _beside(single, again, ["id", "sha", "url_hash"], "left_anti").unionByName(numbered.drop("n"))
+    told = _beside(single, revisits, ["id", "sha"], "left")
+    named = told.select("id", "url", "body", "sha", "url_hash", "nth", F.col("first.id").alias("first_id"), F.col("first.url_hash").alias("first_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: list[bytes] = []
-                for page, url, raw, first, uid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    refers = None if first is None else f"urn:page:{first}"
-                    # a response is named by its page, so that others can refer to it; repeated rows are told apart by a number
-                    out += records(f"urn:page:{'' if page is None else page}:{uid}", url, raw, refers, segment_bytes)
+                for page, address, raw, sha, url_hash, nth, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    refers = None if first is None else record_name(first, sha, first_url, 0)
+                    out += [member(r)[:-1] for r in records(record_name(page, sha, url_hash, nth), address, raw, refers, segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = named.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # the zero byte that ends a member is the writer's line separator
+    lines.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
+def _beside(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with a written table of keys, nulls too; the keys are broadcast where they are counted at BROADCAST_IDS at most."""
+    right = keys.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in keys.columns if c not in on])
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(right), equal, how)
+    return rows.hint("shuffle_merge").join(right, equal, how)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -126,7 +151,7 @@ def _inflated(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    view, piece = memoryview(data), 1 << 20
+    view, piece = memoryview(data), 1 << 16
     inflate = zlib.decompressobj(31)
     for at in range(0, len(view), piece):
         part: bytes = bytes(view[at : at + piece])
@@ -167,82 +192,83 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("an archive ends within a record")
 
 
-RECORD = "name string, record_type string, url string, refers_to string, header_digest string, origin string, number int, total long, block binary"
+DECODED = "name string, record_type string, url string, refers_to string, header_digest string, payload_bytes long, payload_digest string, payload binary"
+#: Whole records are decoded where they are read; segments keep their blocks until they are joined.
+PARSED = f"{DECODED}, origin string, number int, total long, block binary"
+
 
+def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[name for name, _ in fields])
 
-def _parsed(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """The whole records of an archive folder, or all segments of split ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+def _decoded(head: tuple, block: bytes, with_payload: bool) -> tuple:
+    """head (name, record_type, url, refers_to, header_digest) with the payload's size, digest and bytes; revisits have none of their own."""
+    if head[1] == "revisit":
+        return (*head, None, head[4], None)
+    payload = http_payload(block)
+    digest = base32_sha1(payload)
+    if head[4] is not None and digest != head[4]:
+        raise ValueError(f"payload digest {digest}, but {head[4]} was announced")
+    return (*head, len(payload), digest, payload if with_payload else None)
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+def _parsed(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
+    """The records of an archive folder, each file inflated once: whole ones decoded, segments as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 for f, block in parse_records(batch.column(0)[k].as_py()):
-                    if ("warc-segment-number" in f) != segmented:
-                        continue
-                    name = f["warc-record-id"].strip("<>")
-                    refers, digest = f.get("warc-refers-to"), f.get("warc-payload-digest")
-                    rows.append(
-                        (
-                            name,
-                            f["warc-type"],
-                            f.get("warc-target-uri"),
-                            refers and refers.strip("<>"),
-                            digest and digest.removeprefix("sha1:"),
-                            f.get("warc-segment-origin-id", name).strip("<>") if segmented else None,
-                            int(f["warc-segment-number"]) if segmented else None,
-                            int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None,
-                            block,
-                        )
-                    )
-                    size += len(block) + 200
+                    name, refers, digest = f["warc-record-id"].strip("<>"), f.get("warc-refers-to"), f.get("warc-payload-digest")
+                    head = (name, f["warc-type"], f.get("warc-target-uri"), refers and refers.strip("<>"), digest and digest.removeprefix("sha1:"))
+                    if (number := f.get("warc-segment-number")) is None:
+                        rows.append((*_decoded(head, block, with_payload), None, None, None, None))
+                        size += len(block) * with_payload + 200
+                    else:
+                        total = f.get("warc-segment-total-length")
+                        rows.append((*head, None, None, None, f.get("warc-segment-origin-id", name).strip("<>"), int(number), total and int(total), block))
+                        size += len(block) + 200
                     if size > 8 << 20:
-                        yield packed(rows)
+                        yield _packed(rows, PARSED)
                         rows, size = [], 0
         if rows:
-            yield packed(rows)
+            yield _packed(rows, PARSED)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(run, PARSED)
 
 
-def _joined(segments: DataFrame) -> DataFrame:
+def _joined(segments: DataFrame, with_payload: bool) -> DataFrame:
     """Whole records out of segments: each origin's rows meet in one task, sorted, and are joined one record at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: dict | None = None
+        head: tuple | None = None
+        origin, total = None, None
         blocks: list[bytes] = []
-        total = None
 
         def close() -> pa.RecordBatch:
             if total is None or sum(map(len, blocks)) != total:
-                raise ValueError(f"{head['name']}: segments of {sum(map(len, blocks))} bytes, but {total} were announced")
-            return pa.RecordBatch.from_pylist([head | {"number": None, "origin": None, "total": total, "block": b"".join(blocks)}], schema=batch.schema)
+                raise ValueError(f"{origin}: segments of {sum(map(len, blocks))} bytes, but {total} were announced")
+            return _packed([_decoded(head, b"".join(blocks), with_payload)], DECODED)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if head is None or row["origin"] != head["origin"]:
+            for *fields, of, number, announced, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if head is None or of != origin:
                     if head is not None:
                         yield close()
-                    head, blocks, total = row, [], None
-                if row["number"] != len(blocks) + 1:
-                    raise ValueError(f"{row['origin']}: segment {len(blocks) + 1} is missing")
-                blocks.append(row["block"])
-                total = row["total"] if row["total"] is not None else total
+                    head, origin, total, blocks = tuple(fields[:5]), of, None, []
+                if number != len(blocks) + 1:
+                    raise ValueError(f"{of}: segment {len(blocks) + 1} is missing")
+                blocks.append(block)
+                total = announced if announced is not None else total
         if head is not None:
             yield close()
 
-    return segments.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(run, RECORD)
-
-
-DECODED = "name string, record_type string, url string, refers_to string, header_digest string, payload_bytes long, payload_digest string, payload binary"
+    return segments.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(run, DECODED)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -251,44 +277,24 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     payload_digest is taken from the payload read; one that differs from the record's own field is an error, as are missing segments, a
     wrong total length and broken chunks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, told = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            sizes, digests, payloads = [], [], []
-            for kind, want, block in zip(kinds, told, batch.column(8).to_pylist(), strict=True):
-                payload = None if kind == "revisit" else http_payload(block)
-                digest = want if payload is None else base32_sha1(payload)
-                if want is not None and digest != want:
-                    raise ValueError(f"payload digest {digest}, but {want} was announced")
-                sizes.append(None if payload is None else len(payload))
-                digests.append(digest)
-                payloads.append(payload if with_payload else None)
-            arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(payloads, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *arrays], names=[x.split()[0] for x in DECODED.split(", ")])
-
-    whole = _parsed(spark, path, False)
-    split = _joined(_parsed(spark, path, True))
-    return whole.unionByName(split).mapInArrow(run, DECODED)
+    table = Workspace(spark, "warc-read").write(_parsed(spark, path, with_payload), "records")
+    whole = table.where("origin is null").drop("origin", "number", "total", "block")
+    return whole.unionByName(_joined(table.where("origin is not null"), with_payload))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Writes pages to an archive in the shared folder and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The size of a revisit is read from the response that it refers to.
+    A row for each row of pages. What a revisit refers to, and its size, are read from the record that its WARC-Refers-To
+    names; a reference to no record of the archive is an error. Nulls, repeats, empty tables and other columns: as write_warc says.
     """
     space = Workspace(pages.sparkSession, "warc")
     write_warc(pages, space.path("archive"), space, id_col, min_revisit=min_revisit, segment_bytes=segment_bytes)
-    read = space.write(
-        read_warc(pages.sparkSession, space.path("archive"), with_payload=False).select(
-            F.expr("try_cast(nullif(regexp_extract(name, '^urn:page:(-?[0-9]*)', 1), '') as bigint)").alias("page_id"),
-            "payload_bytes",
-            "payload_digest",
-            "record_type",
-            F.expr("try_cast(nullif(regexp_extract(refers_to, '^urn:page:(-?[0-9]*)', 1), '') as bigint)").alias("refers_to"),
-        ),
-        "read",
-    )
-    sizes = read.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
-    out = read.join(sizes, (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    page = F.expr("try_cast(nullif(regexp_extract(name, '^urn:page:(-?[0-9]*):', 1), '') as bigint)")
+    read = space.write(read_warc(pages.sparkSession, space.path("archive"), with_payload=False).select(page.alias("page_id"), "name", "payload_bytes", "payload_digest", "record_type", "refers_to"), "read")
+    # one row a payload that others refer to; written, so that the skew join can split the many rows that refer to one record
+    wanted = read.where("refers_to is not null").select("refers_to").distinct().withColumnRenamed("refers_to", "name")
+    origins = read.join(wanted, "name").select(F.col("name").alias("refers_to"), F.col("page_id").alias("origin_id"), F.col("payload_bytes").alias("origin_bytes"), F.lit(True).alias("found"))
+    out = read.join(space.write(origins, "origins"), "refers_to", "left")
+    named = F.when(F.col("refers_to").isNotNull() & F.col("found").isNull(), F.raise_error(F.concat(F.lit("no record is named "), "refers_to"))).otherwise(F.col("origin_id"))
+    return out.select("page_id", F.coalesce("payload_bytes", "origin_bytes").alias("payload_bytes"), "payload_digest", "record_type", named.cast("long").alias("refers_to"))

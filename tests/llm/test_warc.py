@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -59,6 +60,31 @@ def test_payloads_come_back(spark):
     assert bytes(back[0]) == b"" and {bytes(b) for b in back} == {(t or "").encode() for _, _, t, *_ in rows()}
 
 
+def test_references_name_records_and_members_hold_one_record_each(spark):
+    pages = spark.createDataFrame(rows(), SCHEMA).repartition(2)
+    space = Workspace(spark, "test-warc")
+    write_warc(pages, space.path("archive"), space, segment_bytes=900)
+    ids, refers = [], []
+    for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(space.path("archive")).collect():
+        data, at = bytes(r["content"]), 0
+        while at < len(data):  # a reader that starts at any member finds one whole record
+            inflate = zlib.decompressobj(31)
+            record = inflate.decompress(data[at:])
+            assert inflate.eof
+            at = len(data) - len(inflate.unused_data)
+            ((fields, _),) = parse_records(record)
+            ids.append(fields["warc-record-id"])
+            refers += [fields["warc-refers-to"]] if "warc-refers-to" in fields else []
+    assert len(set(ids)) == len(ids) and refers and set(refers) <= set(ids)
+    assert {r["refers_to"] for r in read_warc(spark, space.path("archive")).collect()} - {None} == {r.strip("<>") for r in refers}
+
+
+def test_long_records_are_several_members():
+    record = random.Random(1).randbytes(warc.MEMBER_BYTES + 5)
+    data = warc.member(record)
+    assert data[-1] == 0 and gzip.decompress(data) == record + b"\r\n\r\n"
+
+
 def test_query_and_empty_table(spark, data_dir):
     table = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect()]
     got = sorted((tuple(r) for r in op10_warc(spark, data_dir).select(*COLUMNS).collect()), key=repr)
