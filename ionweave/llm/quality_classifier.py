@@ -1,17 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and their character n-grams are hashed into rows of an embedding matrix. A document is the mean of its rows,
-followed by a softmax over the classes; both matrices are learned by numpy stochastic gradient descent on a bounded
+Words, their character n-grams and the n-grams of consecutive words are hashed into rows of an embedding matrix. A document
+is the mean of its rows, followed by a softmax over the classes; both matrices are learned by numpy stochastic gradient descent on a bounded
 sample of labelled rows. As the model is linear up to the softmax, each hashed row is folded into the one number it
-adds to the class margin before scoring, so a text costs a lookup per word and executors get 1 MB.
+adds to the class margin before scoring, so a text costs a few lookups per word and executors get a few MB.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +23,12 @@ from ionweave.llm.common import bounded_batches, crc_bucket, text_or_empty
 
 @dataclass(frozen=True)
 class ClassifierParams:
-    buckets: int = 1 << 18
-    dim: int = 16
-    ngrams: tuple[int, ...] = (3, 4)
-    epochs: int = 6
-    rate: float = 0.6
+    buckets: int = 1 << 20
+    dim: int = 8
+    ngrams: tuple[int, ...] = (3, 4)  # characters
+    word_ngrams: tuple[int, ...] = (2, 3, 4)
+    epochs: int = 12
+    rate: float = 1.0
     max_rows: int = 6_000  # documents to learn from at most, chosen by a hash of their id
     max_chars: int = 24_000_000  # and their characters in all
     cache: int = 150_000  # words that a worker remembers
@@ -48,7 +47,7 @@ def word_features(words: list[str], p: ClassifierParams) -> tuple[np.ndarray, np
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(words)), lengths)
     room = np.repeat(starts + lengths, lengths) - np.arange(len(points))  # characters from here to the word's end
-    buckets = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)]
+    buckets = [word_hashes(words)]
     owners = [np.arange(len(words))]
     for n in p.ngrams:
         h = np.full(max(len(points) - n + 1, 0), n, np.uint32)
@@ -65,27 +64,36 @@ def word_features(words: list[str], p: ClassifierParams) -> tuple[np.ndarray, np
     return (np.concatenate(buckets)[order] & np.uint32(p.buckets - 1)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
-#: Word bigrams and trigrams count by their pattern: a word that comes again after one, two or three places.
-GAPS = (1, 2, 3)
-#: A pattern weighs as much as the features of a word.
-PATTERN_WEIGHT = 10
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)
 
 
-def pattern_features(words: list[str], p: ClassifierParams) -> list[tuple[int, int]]:
-    """(bucket, count) of the repetition patterns."""
-    return [(zlib.crc32(b"gap%d" % g) & (p.buckets - 1), PATTERN_WEIGHT * sum(map(operator.eq, words, words[g:]))) for g in GAPS]
+def word_ngram_buckets(hashes: np.ndarray, n: int, p: ClassifierParams) -> np.ndarray:
+    """The bucket of the n-gram of words that begins at each place; hashes are the words' own."""
+    count = max(len(hashes) - n + 1, 0)
+    h = np.full(count, n, np.uint32)
+    for k in range(n):
+        h = (h ^ hashes[k : k + count]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h & np.uint32(p.buckets - 1)).astype(np.int32)
 
 
 def document_features(text: str, p: ClassifierParams) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none."""
+    """(buckets, weights) of a document's mean; the weights add up to 1, or there are none.
+
+    A word is the mean of its own bucket and its character n-grams'; words and n-grams of words weigh the same.
+    """
     words = text.split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    seen = Counter(words)
-    buckets, sizes = word_features(list(seen), p)
-    patterns = [(b, n) for b, n in pattern_features(words, p) if n]
-    every = np.concatenate([buckets, np.array([b for b, _ in patterns], np.int32)])
-    counts = np.concatenate([np.repeat(np.array(list(seen.values()), np.float64), sizes), np.array([n for _, n in patterns], np.float64)])
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words])
+    buckets, sizes = word_features(list(number), p)
+    hashes = word_hashes(list(number))[ids]
+    grams = [word_ngram_buckets(hashes, n, p) for n in p.word_ngrams]
+    every = np.concatenate([buckets, *grams])
+    counts = np.ones(len(every))
+    counts[: len(buckets)] = np.repeat(np.bincount(ids) / sizes, sizes)
     unique, at = np.unique(every, return_inverse=True)
     weights = np.bincount(at, weights=counts)
     return unique, (weights / weights.sum()).astype(np.float32)
@@ -142,51 +150,61 @@ def fit(texts: list[str], labels: list[int], p: ClassifierParams = ClassifierPar
 def training_sample(docs: DataFrame, labels: DataFrame, p: ClassifierParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int]]:
     """At most p.max_rows whole texts with at most p.max_chars characters, in an order by hash of the id.
 
-    Labels other than 0 and 1, and ids whose labels differ, aren't used. Only this bounded sample reaches the driver.
+    Labels other than 0 and 1, and ids whose labels differ, aren't used. Of several texts of one id the shortest counts, then the one
+    with the least hash. Only this bounded sample reaches the driver.
     """
     clear = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     clear = clear.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
     picked = clear.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.max_rows).select("doc_id", "y")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    sizes = found.select("doc_id", "y", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text").alias("n"), "h")).alias("least"))
+    sizes = found.select("doc_id", "y", "least.n", "least.h").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").collect()
     take, total = [], 0
     for row in sizes:
         if total + row["n"] <= p.max_chars:
             total += row["n"]
-            take.append((row["doc_id"], row["y"]))
+            take.append((row["doc_id"], row["y"], row["h"]))
     if not take:
         return [], []
-    chosen = docs.sparkSession.createDataFrame(take, "doc_id long, y int")
-    rows = {r["doc_id"]: (r["text"], r["y"]) for r in texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()}
-    return [rows[i][0] for i, _ in take], [rows[i][1] for i, _ in take]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(take, "doc_id long, y int, h long"))
+    rows = {r["doc_id"]: r["text"] for r in texts.join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id"]).collect()}
+    return [rows[i] for i, _, _ in take], [y for _, y, _ in take]
 
 
 def _scorer(saved: bytes, p: ClassifierParams):
     """A function from texts to their scores. What words add is worked out for many new words at once, and remembered up to a bound."""
     values = np.frombuffer(saved, "<f4")
     bias, margin = float(values[-1]), values[:-1].astype(np.float64)
-    known: dict[str, complex] = {}  # what the word's buckets add up to, and how many they are
+    number: dict[str, int] = {}
+    means, hashes = np.empty(0), np.empty(0, np.uint32)  # of each word: the mean of what its buckets add, its hash
 
     def learn(words: list[str]) -> None:
+        nonlocal means, hashes
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            buckets, sizes = word_features(part, p)
-            sums = np.add.reduceat(margin[buckets], np.cumsum(sizes) - sizes)
-            known.update(zip(part, (sums + 1j * sizes).tolist(), strict=True))
+            buckets, own = word_features(part, p)
+            number.update(zip(part, range(len(number), len(number) + len(part)), strict=True))
+            means = np.append(means, np.add.reduceat(margin[buckets], np.cumsum(own) - own) / own)
+            hashes = np.append(hashes, word_hashes(part))
 
     def score_of(texts: list[str]) -> list[float]:
+        nonlocal means, hashes
         split = [text.split() for text in texts]
         wanted = set().union(*split)
-        if len(known) + len(wanted) > p.cache:
-            known.clear()
-        learn([w for w in wanted if w not in known])
+        if len(number) + len(wanted) > p.cache:
+            number.clear()
+            means, hashes = means[:0], hashes[:0]
+        learn([w for w in wanted if w not in number])
         out = []
         for words in split:
-            total = sum(map(known.__getitem__, words), 0j)
-            for bucket, n in pattern_features(words, p):
-                total += complex(n * margin[bucket], n)
-            z = bias + (total.real / total.imag if total.imag else 0.0)
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            total, n = float(means[ids].sum()), len(ids)
+            own = hashes[ids]
+            for size in p.word_ngrams:
+                buckets = word_ngram_buckets(own, size, p)
+                total += float(margin[buckets].sum())
+                n += len(buckets)
+            z = bias + (total / n if n else 0.0)
             out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
         return out
 
@@ -232,7 +250,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, p: ClassifierParams =
 
     held_out: crc32(doc_id as text) mod folds is `held`; a null id isn't held out and is scored. The score depends
     on the text alone; null and empty texts get the bias's score. Without labels of both classes all get the labels' share (0.5
-    without any). Repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+    without any). Texts of any length are scored whole. Repeated rows are scored each; an empty table gives no rows; other columns
+    are ignored.
     """
     out = F.coalesce(crc_bucket(F.col("doc_id"), folds) == held, F.lit(False))
     model = fit(*training_sample(docs, labels.where(~out), p), p)
