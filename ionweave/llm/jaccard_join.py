@@ -3,9 +3,11 @@
 Texts with one set of word shingles are one set with a number of copies. MinHash bands give buckets; only buckets
 with two sets or more go on. Inside them MinHash values are compared step by step, and a pair is dropped as soon as the
 posterior probability that its Jaccard similarity reaches the threshold falls below the tolerance. The pairs that
-survive tie sets into candidate groups (a spanning forest is enough, so no bucket emits its pairs). In each candidate
-group, blocks of bounded size meet pairwise: the same pruning again, then exact intersection of the shingle sets. A block pair
-returns a number of links per set and a forest of them, never the pairs.
+survive tie sets into candidate groups (a spanning forest is enough, so no bucket emits its pairs). A small candidate group is
+one block; in a large one the sets that share their largest bucket form blocks of bounded size, and only blocks that some
+bucket holds both of meet: the same pruning again, then exact intersection of the shingle sets. So a group that chains many
+small buckets together costs what these buckets cost, not all its pairs. A block pair returns a number of links per set and
+a forest of them, never the pairs.
 """
 
 from __future__ import annotations
@@ -223,7 +225,7 @@ def _verify(key: tuple, t: pa.Table, p: JoinParams) -> pa.Table:
     t = t.sort_by("sid")
     sids, blocks, copies, sizes = (t[c].to_numpy() for c in ("sid", "block", "copies", "n"))
     n = len(sids)
-    across = key[1].as_py() != key[2].as_py()
+    across = key[0].as_py() != key[1].as_py()
     signatures = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(n, p.hashes)
     sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
     stay: list[np.ndarray] = []
@@ -271,6 +273,31 @@ def _in_blocks(rows: DataFrame, group: str, number) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "parts")
 
 
+def _placed(space: Workspace, groups: DataFrame, members: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """((sid, block) of each set, (block, i, j) of each block in the pairs of blocks that meet).
+
+    groups (sid, component, n) and members (key, m, sid) are written. A component of bounded size is one block. In others a
+    set's home is its largest bucket, a large home is dealt into several blocks, and blocks meet if a bucket holds sets of both.
+    """
+
+    def parts(count: str, shingles: str):
+        return F.greatest(F.ceil(F.col(count) / F.lit(p.verify_rows)), F.ceil(F.col(shingles) * 8 / F.lit(p.verify_bytes)))
+
+    sums = F.count("*").alias("count"), F.sum("n").alias("shingles")
+    large = space.write(groups.groupBy("component").agg(*sums).where(parts("count", "shingles") > 1).select("component"), "large")  # written, as are other sums that are joined back
+    small = groups.join(large, "component", "left_anti").select("sid", F.col("component").alias("block"))
+    spread = members.join(groups.join(large, "component", "left_semi").select("sid", "n"), "sid")
+    homes = space.write(spread.groupBy("sid", "n").agg(F.max(F.struct("m", "key")).alias("home")).select("sid", "n", "home.key"), "homes")
+    home_parts = space.write(homes.groupBy("key").agg(*sums).select("key", parts("count", "shingles").alias("parts")), "home-parts")
+    block = F.xxhash64("key", F.pmod(F.xxhash64("sid", F.lit(77)), F.col("parts")))
+    dealt = space.write(homes.join(home_parts, "key").select("sid", block.alias("block")), "dealt")
+    held = space.write(spread.select("key", "sid").join(dealt, "sid").select("key", "block").distinct(), "held")
+    pairs = held.join(held.withColumnRenamed("block", "other"), "key").where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j"))
+    pairs = pairs.distinct().unionByName(small.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct())
+    meetings = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    return small.unionByName(dealt), space.write(meetings, "meetings")
+
+
 def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, class_id, n_links, n_shingles, text_hash, class_key) for each row of docs.
 
@@ -278,7 +305,8 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
     text is one shingle of all its words. Two rows are linked if their sets' Jaccard similarity is p.threshold at least;
     n_links counts the rows that a row is linked with, copies included. class_id is the smallest doc_id that links lead to. Texts without
     words (null ones too) have no set: they are linked with nothing, and class_id is their own id. Repeated rows are
-    copies of each other. A null id is no smallest id unless its class has no other. An empty table gives no rows.
+    copies of each other. A null id is no smallest id unless its class has no other. Texts of any length are taken whole; an empty
+    table gives no rows; other columns are ignored.
     Shingles are known by 64-bit hashes, sets by 128-bit ones. class_key is a number of the class, null without words; text_hash is
     xxhash64 of the text.
     """
@@ -301,14 +329,14 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
     dealt = _in_blocks(members.join(candidates, "sid"), "key", F.ceil(F.col("m") / F.lit(p.bucket_block)))
     pairs = dealt.select("key", "i", "j", "sid", "block", "signature").groupBy("key", "i", "j").applyInArrow(lambda key, t: _forest(key, t, p), "a long, b long")
     edges = space.write(pairs, "edges")
-    space.drop("members", "candidates")
+    space.drop("candidates")
     space.release()
 
     groups = connected_components(space, edges, "groups").withColumnRenamed("node", "sid")
-    shape = groups.join(sets.select("sid", "n"), "sid").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("m") / F.lit(p.verify_rows)), F.ceil(F.col("shingles") * 8 / F.lit(p.verify_bytes)))
-    shape = space.write(shape.select("component", parts.alias("parts")), "shape")  # written, as are other sums that are joined back
-    wanted = space.write(groups.join(shape, "component").join(sets, "sid"), "wanted")
+    groups = space.write(groups.join(sets.select("sid", "n"), "sid"), "grouped")
+    placed, meetings = _placed(space, groups, members, p)
+    wanted = space.write(placed.join(sets, "sid"), "wanted")
+    space.drop("members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -320,9 +348,9 @@ def near_duplicate_rows(docs: DataFrame, p: JoinParams = JoinParams(), id_col: s
     texts = docs.select(F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).cast("binary").alias("raw"))
     texts = filter_by_id(texts, wanted.select("text_hash"), "text_hash", keep=True).dropDuplicates(["text_hash"]).select("raw")
     contents = texts.mapInArrow(shingles, "set_key binary, shingles binary")
-    rows = wanted.select("set_key", "sid", "component", "parts", "copies", "n", "signature").join(contents, "set_key")
-    meeting = _in_blocks(rows, "component", F.col("parts")).drop("set_key")
-    checked = space.write(meeting.groupBy("component", "i", "j").applyInArrow(lambda key, t: _verify(key, t, p), "kind int, a long, b long"), "checked")
+    rows = wanted.select("set_key", "sid", "block", "copies", "n", "signature").join(contents, "set_key").drop("set_key")
+    meeting = rows.join(meetings, "block")
+    checked = space.write(meeting.groupBy("i", "j").applyInArrow(lambda key, t: _verify(key, t, p), "kind int, a long, b long"), "checked")
     space.drop("edges")
     space.release()
 

@@ -75,3 +75,17 @@ def test_posterior():
         assert posterior(least, n, p.threshold) >= p.tolerance
         assert least == 0 or posterior(least - 1, n, p.threshold) < p.tolerance
     assert jaccard_join._intersections([np.array([1, 2, 3], np.uint64), np.array([2, 3, 9], np.uint64)]).tolist() == [[2, 2], [2, 2]]
+
+
+def test_long_chains_of_small_buckets(spark):
+    """One component of many sets that few others are linked with: it is verified bucket by bucket."""
+    rng = np.random.default_rng(8)
+    w = [f"c{i}" for i in range(400)]
+    table = []
+    for i in range(150):
+        table.append((i, " ".join(w)))
+        at = int(rng.integers(0, 380))
+        w[at : at + 12] = [f"n{i}x{k}" for k in range(12)]
+    p = JoinParams(bucket_block=8, verify_rows=8)
+    found = got(spark.createDataFrame(table, "doc_id long, text string"), p)
+    assert found == brute(table) and len({c for _, c, _ in found}) < 20
