@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ionweave.llm.common import Workspace, text_or_empty
 
-#: Pieces that one task packs, and rounds of exchange.
-GROUP, ROUNDS = 65_536, 3
+#: Pieces that one task packs.
+GROUP = 65_536
 #: An exchanged bin is filled to less than this share.
 WELL_FILLED = 0.995
 
@@ -165,32 +165,36 @@ def _pack(rows: DataFrame, groups: int, salt: int, capacity: int) -> DataFrame:
     return dealt.groupBy("grp").applyInArrow(run, PACKED)
 
 
-def pack(table: DataFrame, space: Workspace, capacity: int, group: int = GROUP, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def pack(table: DataFrame, space: Workspace, capacity: int, group: int = GROUP, rounds: int | None = None) -> tuple[DataFrame, dict]:
     """table (doc_id, piece, start, length, ids_crc32, uid; written) with sequence_id and offset, and a report.
 
-    The report has the bins, the proven lower bound and the bins after each round.
+    The pieces of unsettled bins are exchanged and packed anew for as long as that saves bins (rounds: that often at most); a round that
+    saves none is not used. The report has the bins, the proven lower bound and, for each round, its settled bins and the bins left open.
     """
     histogram = np.zeros(capacity + 1, np.int64)
     for n, count in table.groupBy("length").count().collect():  # at most `capacity` rows
         histogram[n] = count
     bound, left = lower_bound(histogram, capacity), int(histogram.sum())
     done: list[DataFrame] = []
-    report: dict = {"lower_bound": bound, "pieces": left, "rounds": []}
-    todo = table
-    for k in range(rounds + 1):
+    report: dict = {"lower_bound": bound, "pieces": left, "rounds": [], "bins": 0}
+    todo, before, settled_bins, k = table, None, 0, 0
+    while True:
         packed = space.write(_pack(todo, max(1, -(-left // group)), k, capacity), f"packed-{k}")
-        per = packed.groupBy("settled").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins")).collect()
-        bins = {r["settled"]: r["bins"] for r in per}
-        open_pieces = sum(r["n"] for r in per if not r["settled"])
-        report["rounds"].append(bins)
-        total = sum(sum(x.get(True, 0) for x in [r]) for r in report["rounds"]) + bins.get(False, 0)
+        per = {r["settled"]: r for r in packed.groupBy("settled").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins")).collect()}
+        settled, open_bins = (per[flag]["bins"] if flag in per else 0 for flag in (True, False))
+        report["rounds"].append({True: settled, False: open_bins})
+        if before is not None and settled + open_bins >= before[1]:
+            done.append(before[0])
+            report["bins"] = settled_bins + before[1]
+            break
+        settled_bins, total = settled_bins + settled, settled_bins + settled + open_bins
         # one group has nobody to exchange with, and fewer bins than the bound can't be reached
-        if k == rounds or not open_pieces or total == bound or left <= group:
+        if not open_bins or total == bound or left <= group or k == rounds:
             done.append(packed)
             report["bins"] = total
             break
         done.append(packed.where("settled"))
-        todo, left = packed.where("not settled"), open_pieces
+        todo, left, before, k = packed.where("not settled"), per[False]["n"], (packed.where("not settled"), open_bins), k + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -257,8 +261,8 @@ def best_fit_packing(
     """Packs all rows of docs into sequences of at most `capacity` tokens: a row for each piece, and a report.
 
     A document is its token ids and then end_id; a null text is an empty one and gives the one id. Only longer
-    documents are cut, into pieces of `capacity` ids behind a first one with the rest. Repeated rows are packed
-    each for itself, null ids too; an empty table gives no rows. ranks_path: the same vocabulary as byte ranks,
+    documents are cut, into pieces of `capacity` ids behind a first one with the rest, however long they are. Repeated rows are
+    packed each for itself, null ids too; an empty table gives no rows; other columns are ignored. ranks_path: the same vocabulary as byte ranks,
     used where both agree by construction. The report's bins and lower_bound certify the result.
     """
     space = Workspace(docs.sparkSession, "packing")
