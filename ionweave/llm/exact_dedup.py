@@ -50,7 +50,8 @@ def exact_dedup_rows(
     Texts are equal when they are the same after deleting every character of `[\\x20\\x09-\\x0D]`; a null text is an
     empty one, and empty texts are equal. Of equal texts the row with the most code points in its original text
     stays, then the one with the smallest id (a null id loses to any other). Repeated rows with one id and one text
-    are counted in group_size one by one and share `kept`. An empty table gives no rows; other columns are ignored.
+    are counted in group_size one by one and share `kept`. An empty table gives no rows; other columns are ignored. Texts of any
+    length are compared whole: a chunk has MAX_CHUNK characters at most.
     text_hash is xxhash64 of the original text.
     hash_of may be any function of a chunk column that returns a long: clashes of it are found and resolved.
     """
@@ -71,9 +72,10 @@ def exact_dedup_rows(
         "recipes",
     )
     rows = with_verified_ids(recipes)
-    groups = rows.groupBy("ids").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    first = F.min(F.struct((-F.col("size")).alias("shortness"), F.col("doc_id").isNull().alias("none"), "doc_id"))
+    groups = rows.groupBy("ids").agg(first.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
     # written, so that the join deals both sides itself: a list that a third of all rows share is then split by the skew join
-    groups = space.write(groups.select("ids", (-F.col("best.back")).alias("keep_id"), "group_size"), "groups")
+    groups = space.write(groups.select("ids", F.col("best.doc_id").alias("keep_id"), "group_size"), "groups")
     found = rows.join(groups, "ids", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
     return found.select(
         "doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash"

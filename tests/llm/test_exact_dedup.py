@@ -46,3 +46,9 @@ def test_empty_table(spark):
 def test_no_python_on_the_executors(spark):
     plan = exact_dedup(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_least_and_largest_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    found = exact_dedup(spark.createDataFrame([(low, "a b"), (high, "a b"), (None, "ab "), (0, "a  b"), (low, "x"), (None, "x")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["keep_id"]) for r in found if r["doc_id"] is not None) == [(low, low), (low, 0), (0, 0), (high, 0)]
