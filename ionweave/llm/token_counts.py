@@ -9,7 +9,7 @@ Tokenization", 2021).
 from __future__ import annotations
 
 import base64
-import zlib
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -94,18 +94,19 @@ def byte_bpe_vocabulary(ranks_path: str) -> tuple[list[bytes], list[bytes]]:
     return single + initial, single + [t for t in tokens if t[:1] != b" "]
 
 
-_COUNTERS: dict[int, LongestMatchCounter] = {}
+_COUNTERS: dict[bytes, LongestMatchCounter] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_bytes, n_words, n_tokens) for each row of docs.
 
     Words are runs without the six ASCII spaces, counted on their UTF-8 bytes. A null text is an empty one with no
-    words. Repeated rows are counted each; an empty table gives no rows; other columns are ignored.
+    words; texts and words of any length are counted whole. Repeated rows are counted each; an empty table gives no rows; other
+    columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary, whatever the corpus
-    name = zlib.crc32(b"\n".join([*vocabulary[0], b"", *vocabulary[1]]))
+    name = hashlib.sha256(repr(vocabulary).encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (counter := _COUNTERS.get(name)) is None:
