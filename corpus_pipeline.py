@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of docs.
 Rows are told apart by their id and a hash of their text, so null and repeated ids do no harm. An empty table passes
-through every stage as an empty one; null texts are empty texts.
+through every stage as an empty one; null texts are empty texts, texts of any length are taken whole, and columns other than
+doc_id, text and source pass unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,25 @@ from ionweave.llm.source_mixing import mix_counts
 QUALITY_THRESHOLD = 0.5
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or with as many underscores behind it as it takes to be none of docs' columns."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _by_row(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Joins docs with a written table of rows (doc_id, text_hash, ...) on both, null ids too.
+    """Joins docs with a written table of rows (doc_id, text_hash, ...) on both, null ids too; an inner join keeps the other columns of keys.
 
     The keys are broadcast where they are counted at BROADCAST_IDS at most, else both sides are shuffled.
     """
     small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    right = keys.withColumnRenamed("doc_id", "row_doc_id").withColumnRenamed("text_hash", "row_text_hash")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("row_doc_id")) & (F.xxhash64(text_or_empty("text")) == F.col("row_text_hash"))
-    return docs.join(F.broadcast(right), on, how) if small else docs.hint("shuffle_merge").join(right, on, how)
+    row_id, row_hash = _free("row_doc_id", docs), _free("row_text_hash", docs)
+    right = keys.withColumnsRenamed({"doc_id": row_id, "text_hash": row_hash})
+    on = docs["doc_id"].cast("long").eqNullSafe(right[row_id]) & (F.xxhash64(text_or_empty(docs["text"])) == right[row_hash])
+    joined = docs.join(F.broadcast(right), on, how) if small else docs.hint("shuffle_merge").join(right, on, how)
+    return joined.drop(row_id, row_hash) if how == "inner" else joined
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +77,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does; rows that repeat id and text are taken as often as all of them together."""
     space = Workspace(spark, "pipeline-mix")
-    mixed = mix_counts(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("row_copies"), F.count("*").alias("row_count"))
-    taken = space.write(mixed.where("row_copies > 0"), "taken")
+    copies, nth = _free("row_copies", docs), _free("row_nth", docs)
+    mixed = mix_counts(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias("row_count"))
+    taken = space.write(mixed.where(F.col(copies) > 0), "taken")
+    columns = docs.columns
     if not taken.where("row_count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    found = _by_row(docs, taken.drop("row_count"), "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("row_copies").cast("int"))))
-    return found.select(*docs.columns)
+    found = _by_row(docs, taken.drop("row_count"), "inner").withColumn(nth, F.explode(F.sequence(F.lit(1), copies)))
+    return found.select(*[f"`{c}`" for c in columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
