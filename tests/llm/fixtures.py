@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, ids string, kept string, copies string, block string, score string, sid string"
-CLASH = (7, "x", "x", "x", "x", "x", "x")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, ids string, kept string, copies string, block string, score string, sid string, copy string, row_copies string, row_doc_id string, row_text_hash string, row_nth string, row_count string, seed string"
+CLASH = (7, *["x"] * 13)
 
 
 def words(seed: int, n: int, vocabulary: int = 400) -> list[str]:

@@ -86,7 +86,27 @@ def test_mixing_and_packing_stages(spark, data_dir):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want_pieces
 
 
-@pytest.mark.parametrize("name", list(STAGE)[1:])
+def test_the_whole_pipeline_on_hard_rows(spark, tmp_path):
+    from collections import Counter
+
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 1), (2, 1), (3, 1), (13, 1), (6, 1), (5, 1), (16, 0), (14, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = {repr(tuple(r)) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns, name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        # every column comes through as it was, those named like the stages' own too
+        assert {repr(tuple(r)) for r in docs.collect()} <= before, name
+    mixed = Counter(r["doc_id"] for r in docs.collect())
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed and Counter(r["doc_id"] for r in packed if r["piece"] == 0) == mixed
+
+
+@pytest.mark.parametrize("name", list(STAGE))
 def test_empty_tables(spark, data_dir, name):
     assert STAGE[name](spark, empty(spark), data_dir).count() == 0
 
