@@ -6,7 +6,8 @@ discounts d and alpha(h) such that the sum over all words, the unknown one inclu
 Whole texts are turned into blocks of about half a million tokens: a local vocabulary of word hashes and an index per token.
 Everything gathered from the corpus is exchanged between blocks and buckets of n-gram hashes, as packed arrays: a block sends each
 distinct n-gram once with its count, so a word or pair that fills the corpus arrives once per block; a bucket owns the n-grams of its
-range and answers each block with the totals. Buckets grow in number with the corpus, and so does what is sent. The
+range and answers each block with the totals and with the n-grams' places in the bucket, by which the block names them when it sends
+its sums for the backoff weights. Buckets grow in number with the corpus, and so does what is sent. The
 tables of n-gram counts (`grams`) and backoff weights (`backoff`) are stored partitioned by bucket.
 """
 
@@ -117,6 +118,16 @@ def blocks(docs: DataFrame, p: KatzParams, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(run, BLOCK)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, index among them of every value), by one sort."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(np.ones(min(len(values), 1), bool), ordered[1:] != ordered[:-1])
+    at = np.empty(len(values), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], at
+
+
 @dataclass
 class Level:
     """The distinct n-grams of one length in a block, sorted by hash, and the n-gram at each place that has one."""
@@ -150,27 +161,23 @@ class Block:
         for n in range(2, order + 1):
             below = self.levels[-1]
             places = np.flatnonzero(offset >= n - 1)
-            code = below.at[places - 1] * np.int64(len(keys)) + word[places]
-            codes, first, at = np.unique(code, return_index=True, return_inverse=True)
-            context, last = codes // len(keys), codes % len(keys)
-            hashes = (below.keys[context] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + self.levels[0].keys[last] * np.uint64(0xC2B2AE3D27D4EB4F)
+            hashes = (below.keys[below.at[places - 1]] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + keys[order_of][word[places]] * np.uint64(0xC2B2AE3D27D4EB4F)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
             hashes ^= hashes >> np.uint64(29)
-            by_hash = np.argsort(hashes, kind="stable")
-            rank_n = np.empty(len(by_hash), np.int64)
-            rank_n[by_hash] = np.arange(len(by_hash))
+            distinct, first, at = numbered(hashes)
             everywhere = np.full(len(offset), -1, np.int64)
-            everywhere[places] = rank_n[at]
-            counts = np.bincount(everywhere[places[train[places]]], minlength=len(by_hash))
-            self.levels.append(Level(hashes[by_hash], context[by_hash], below.at[places[first]][by_hash], everywhere, counts))
+            everywhere[places] = at
+            counts = np.bincount(at[train[places]], minlength=len(distinct))
+            # an n-gram's context ends a place before it, its suffix ends where it ends; any of its places tells both
+            self.levels.append(Level(distinct, below.at[places[first] - 1], below.at[places[first]], everywhere, counts))
 
 
 # --- buckets ----------------------------------------------------------------------------------------------------
 
 ASK = "level int, bucket int, block long, keys binary, counts binary"
 STATS = [f"n{r}" for r in range(1, K + 2)]
-ANSWER = "level int, bucket int, block long, counts binary, own binary, total long, types long, " + ", ".join(f"{s} long" for s in STATS)
+ANSWER = "level int, bucket int, block long, counts binary, own binary, places binary, total long, types long, " + ", ".join(f"{s} long" for s in STATS)
 
 
 def ask_counts(table: DataFrame, p: KatzParams, buckets: int) -> DataFrame:
@@ -188,17 +195,12 @@ def ask_counts(table: DataFrame, p: KatzParams, buckets: int) -> DataFrame:
     return table.mapInArrow(run, ASK)
 
 
-def _numbered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, index of each key in them)."""
-    return np.unique(np.concatenate(keys), return_inverse=True)
-
-
 def answer_counts(key: tuple, t: pa.Table) -> pa.Table:
-    """The total of every n-gram asked for; each one seen is owned by the first block that learned it."""
+    """The total of every n-gram asked for and its place among the bucket's; each one seen is owned by the first block that learned it."""
     t = t.sort_by("block")
     keys = [unpacked_keys(x) for x in t["keys"].to_pylist()]
     counts = np.concatenate([unpacked(x, "<u4") for x in t["counts"].to_pylist()]).astype(np.int64)
-    distinct, at = _numbered(keys)
+    distinct, _, at = numbered(np.concatenate(keys))
     totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
     learned = np.flatnonzero(counts)
     first = np.full(len(distinct), -1, np.int64)
@@ -212,9 +214,10 @@ def answer_counts(key: tuple, t: pa.Table) -> pa.Table:
     for i, (block, end) in enumerate(zip(t["block"].to_pylist(), ends, strict=True)):
         lo = end - len(keys[i])
         figures = [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, K + 2))] if i == 0 else [0] * (2 + len(STATS))
-        for column, value in zip(out.values(), [level, bucket, block, packed(totals[at[lo:end]].astype("<u8")), np.packbits(own[lo:end]).tobytes(), *figures], strict=True):
+        row = [level, bucket, block, packed(totals[at[lo:end]].astype("<u8")), np.packbits(own[lo:end]).tobytes(), packed_keys(at[lo:end].astype(np.uint64)), *figures]
+        for column, value in zip(out.values(), row, strict=True):
             column.append(value)
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (2 + len(STATS))]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * (2 + len(STATS))]
     return pa.table({name: pa.array(c, ty) for (name, c), ty in zip(out.items(), types, strict=True)})
 
 
@@ -249,8 +252,10 @@ def discounts(total: int, types: int, ns: list[int]) -> Discounts:
 
 # --- backoff weights and scores ---------------------------------------------------------------------------------
 
-WEIGH = "level int, bucket int, block long, keys binary, seen binary, lower binary, counts binary, wants binary"
+WEIGH = "level int, bucket int, block long, places binary, seen binary, lower binary, counts binary, wants binary"
 WEIGHT = "level int, bucket int, block long, weights binary"
+#: Sums of probabilities travel as whole numbers of this part, which is below any rounding that a score shows.
+PART = 2.0**-40
 
 
 class Scorer:
@@ -262,6 +267,8 @@ class Scorer:
         levels = self.block.levels
         got = sorted(answers, key=lambda a: (a["level"], a["bucket"]))
         self.counts, self.own = [], []
+        named = [unpacked_keys(a["places"]) for a in got if a["places"] is not None]
+        self.places = np.concatenate(named) if named else None  # of the n-grams of the level below the last
         for n in range(1, order + 1):
             parts = [unpacked(a["counts"], "<u8").astype(np.int64) for a in got if a["level"] == n]
             own = [np.unpackbits(np.frombuffer(a["own"], np.uint8))[: len(c)].astype(bool) for a, c in zip([a for a in got if a["level"] == n], parts, strict=True)]
@@ -320,18 +327,19 @@ class Scorer:
         }
 
 
-def ask_weights(n: int, order: int, told: list[Discounts], buckets: int):
+def ask_weights(n: int, told: list[Discounts], buckets: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
-            block = _scorer(row, right, order, told)
+            block = _scorer(row, right, n, told)
             contexts, seen, lower = block.sums(n)
-            keys, counts, wants = block.block.levels[n - 2].keys[contexts], block.counts[n - 2][contexts], block.wants(n)[contexts]
-            edges = bucket_edges(keys, buckets)
+            places, counts, wants = block.places[contexts], block.counts[n - 2][contexts], block.wants(n)[contexts]
+            edges = bucket_edges(block.block.levels[n - 2].keys[contexts], buckets)
+            parts = np.rint(lower / PART).astype("<u8")
             for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
                     at = contexts[lo:hi]
-                    out.append((n, b, row["block"], packed_keys(keys[lo:hi]), packed(seen[at]), packed(lower[at]), packed(counts[lo:hi].astype("<u8")), np.packbits(wants[lo:hi]).tobytes()))
+                    out.append((n, b, row["block"], packed_keys(places[lo:hi]), packed(seen[at]), packed(parts[at]), packed(counts[lo:hi].astype("<u8")), np.packbits(wants[lo:hi]).tobytes()))
         types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         columns = list(zip(*out, strict=True)) or [[]] * 8
         return pa.table({x.split()[0]: pa.array(c, ty) for x, c, ty in zip(WEIGH.split(", "), columns, types, strict=True)})
@@ -342,17 +350,19 @@ def ask_weights(n: int, order: int, told: list[Discounts], buckets: int):
 def answer_weights(key: tuple, t: pa.Table) -> pa.Table:
     """alpha = (1 - seen / count) / (1 - lower) of each context, for the blocks that want it."""
     t = t.sort_by("block")
-    keys = [unpacked_keys(x) for x in t["keys"].to_pylist()]
-    seen, lower = (np.concatenate([unpacked(x, "<f8") for x in t[c].to_pylist()]) for c in ("seen", "lower"))
+    places = [unpacked_keys(x).astype(np.int64) for x in t["places"].to_pylist()]
+    seen = np.concatenate([unpacked(x, "<f8") for x in t["seen"].to_pylist()])
+    lower = np.concatenate([unpacked(x, "<u8") for x in t["lower"].to_pylist()]) * PART
     counts = np.concatenate([unpacked(x, "<u8") for x in t["counts"].to_pylist()]).astype(np.float64)
-    distinct, at = _numbered(keys)
-    total = np.zeros(len(distinct))
+    at = np.concatenate(places)
+    n_places = int(at.max(initial=-1)) + 1
+    total = np.zeros(n_places)
     total[at] = counts
-    mass = np.bincount(at, weights=seen, minlength=len(distinct)) / np.maximum(total, 1)
-    rest = 1 - np.bincount(at, weights=lower, minlength=len(distinct))
+    mass = np.bincount(at, weights=seen, minlength=n_places) / np.maximum(total, 1)
+    rest = 1 - np.bincount(at, weights=lower, minlength=n_places)
     alpha = (1 - mass) / np.maximum(rest, 1e-12)
     blocks, weights, lo = [], [], 0
-    for block, own, bits in zip(t["block"].to_pylist(), keys, t["wants"].to_pylist(), strict=True):
+    for block, own, bits in zip(t["block"].to_pylist(), places, t["wants"].to_pylist(), strict=True):
         wants = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)].astype(bool)
         blocks.append(block)
         weights.append(packed(alpha[at[lo : lo + len(own)][wants]]))
@@ -362,7 +372,7 @@ def answer_weights(key: tuple, t: pa.Table) -> pa.Table:
 
 
 #: What a block gets back: answers with counts and own, weights without.
-REPLY = "block long, kind int, level int, bucket int, counts binary, own binary, weights binary"
+REPLY = "block long, kind int, level int, bucket int, counts binary, own binary, places binary, weights binary"
 
 
 def _scorer(row: dict, replies: pa.Table, order: int, told: list[Discounts]) -> Scorer:
@@ -389,24 +399,38 @@ def katz_scores(docs: DataFrame, p: KatzParams = KatzParams(), id_col: str = "do
     Learned from the rows whose crc32(doc_id as text) mod p.folds isn't p.held; a row without id is learned from. Tokens are the
     words of the ASCII-lower-cased text and one end; a null text is an empty one with the end alone. score is the log10
     probability under the model, base_score that of counts plus one. The unknown word is one more type for both. Repeated
-    rows are learned as often as they come. Without rows to learn from, every token is the unknown word. An empty
+    rows are learned as often as they come; texts of any length are taken whole, one alone in a block if need be; other columns are ignored. Without rows to learn from, every token is the unknown word. An empty
     table gives no rows. N-grams are known by 64-bit hashes.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
     table = space.write(blocks(docs, p, id_col, text_col), "blocks", "uncompressed")
-    tokens = table.select(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    buckets = max(12, -(-tokens // (2 * p.bucket_tokens)))  # about two packed bytes a token
-    answers = space.write(ask_counts(table, p, buckets).groupBy("level", "bucket").applyInArrow(answer_counts, ANSWER), "grams")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("tokens"), F.count("*").alias("blocks")).first()
+    buckets = max(12, -(-size["tokens"] // (2 * p.bucket_tokens)))  # about two packed bytes a token
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task gets a few buckets, or a few blocks, however many there are
+    of_buckets, of_blocks = max(least, buckets * p.order // 2), max(least, size["blocks"] // 4)
+    asked = ask_counts(table, p, buckets).repartition(of_buckets, "level", "bucket")
+    answers = space.write(asked.groupBy("level", "bucket").applyInArrow(answer_counts, ANSWER), "grams")
     space.release()
     figures = {r["level"]: r for r in answers.groupBy("level").agg(*[F.sum(c).alias(c) for c in ("total", "types", *STATS)]).collect()}  # a row per level
     told = [discounts(r["total"], r["types"], [r[s] for s in STATS]) if (r := figures.get(n)) else discounts(0, 0, [0] * len(STATS)) for n in range(1, p.order + 1)]
     none = F.lit(None).cast("binary")
-    replies = answers.select("block", F.lit(0).alias("kind"), "level", "bucket", "counts", "own", none.alias("weights"))
+    backoff = None
+
+    def replies(n: int, named: int) -> DataFrame:
+        """What a block has to know of levels up to n; places of the level `named`."""
+        places = F.when(F.col("level") == named, F.col("places")).alias("places")
+        out = answers.where(F.col("level") <= n).select("block", F.lit(0).alias("kind"), "level", "bucket", "counts", "own", places, none.alias("weights"))
+        if backoff is not None:
+            out = out.unionByName(backoff.select("block", F.lit(1).alias("kind"), "level", "bucket", none.alias("counts"), none.alias("own"), none.alias("places"), "weights"))
+        return out.repartition(of_blocks, "block").groupBy("block")
+
+    dealt = table.repartition(of_blocks, "block")
     for n in range(2, p.order + 1):
-        asked = table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_weights(n, p.order, told, buckets), WEIGH)
-        weights = space.write(asked.groupBy("level", "bucket").applyInArrow(answer_weights, WEIGHT), f"backoff-{n}")
+        sums = dealt.groupBy("block").cogroup(replies(n, n - 1)).applyInArrow(ask_weights(n, told, buckets), WEIGH)
+        weights = space.write(sums.repartition(of_buckets, "level", "bucket").groupBy("level", "bucket").applyInArrow(answer_weights, WEIGHT), f"backoff-{n}")
         space.release()
-        replies = replies.unionByName(weights.select("block", F.lit(1).alias("kind"), "level", "bucket", none.alias("counts"), none.alias("own"), "weights"))
-    scored = table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_blocks(p.order, told), SCORED)
+        backoff = weights if backoff is None else backoff.unionByName(weights)
+    scored = dealt.groupBy("block").cogroup(replies(p.order, 0)).applyInArrow(score_blocks(p.order, told), SCORED)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
