@@ -23,12 +23,12 @@ from ionweave.llm.common import bounded_batches, crc_bucket, text_or_empty
 
 @dataclass(frozen=True)
 class ClassifierParams:
-    buckets: int = 1 << 20
-    dim: int = 8
+    buckets: int = 1 << 19
+    dim: int = 4
     ngrams: tuple[int, ...] = (3, 4)  # characters
     word_ngrams: tuple[int, ...] = (2, 3, 4)
-    epochs: int = 12
-    rate: float = 1.0
+    epochs: int = 6
+    rate: float = 2.0
     max_rows: int = 6_000  # documents to learn from at most, chosen by a hash of their id
     max_chars: int = 24_000_000  # and their characters in all
     cache: int = 150_000  # words that a worker remembers
