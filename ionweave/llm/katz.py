@@ -7,12 +7,14 @@ Whole texts are turned into blocks of about half a million tokens: a local vocab
 Everything gathered from the corpus is exchanged between blocks and buckets of n-gram hashes, as packed arrays: a block sends each
 distinct n-gram once with its count, so a word or pair that fills the corpus arrives once per block; a bucket owns the n-grams of its
 range and answers each block with the totals and with the n-grams' places in the bucket, by which the block names them when it sends
-its sums for the backoff weights. Buckets grow in number with the corpus, and so does what is sent. The
+its sums for the backoff weights. Each length of n-gram is exchanged for itself. Blocks are stored bucketed, so they are read by many steps
+and never shuffled. Buckets grow in number with the corpus, and so does what is sent. The
 tables of n-gram counts (`grams`) and backoff weights (`backoff`) are stored partitioned by bucket.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,11 +42,11 @@ class KatzParams:
     held: int = 2
 
 
-def packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray, level: int = 1) -> bytes:
     """The array's bytes by place, so that equal high bytes stand together, compressed."""
     raw = np.ascontiguousarray(values)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(data: bytes, kind: str) -> np.ndarray:
@@ -70,7 +72,22 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 # --- blocks -----------------------------------------------------------------------------------------------------
 
-BLOCK = "block long, ids array<long>, learn binary, lengths binary, vocab binary, tokens binary"
+BLOCK = "block long, n_tokens long, ids array<long>, learn binary, lengths binary, vocab binary, tokens binary"
+#: Files of the bucketed table at most, Spark's own limit.
+MOST_BUCKETED = 100_000
+
+
+def bucketed(space: Workspace, df: DataFrame, name: str, n: int) -> DataFrame:
+    """df written to the shared folder in n buckets of `block`, which a grouping by block reads as they are.
+
+    Spark keeps buckets with a table's name only, so the table has one of its own until it has been looked up; the files stay.
+    """
+    spark, table = space.spark, f"ionweave_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "uncompressed").option("path", space.path(name)).bucketBy(n, "block").saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # noqa: B018  looks the table up
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def blocks(docs: DataFrame, p: KatzParams, id_col: str, text_col: str) -> DataFrame:
@@ -87,12 +104,12 @@ def blocks(docs: DataFrame, p: KatzParams, id_col: str, text_col: str) -> DataFr
                 return n
 
         def close() -> pa.RecordBatch:
-            hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            vocab, at = np.unique(hashes, return_inverse=True)
-            tokens = at.astype("<u4")[np.concatenate(parts)]
-            row = [[number], [ids], [np.array(learn, np.uint8).tobytes()], [np.array(lengths, "<u4").tobytes()], [packed_keys(vocab)], [packed(tokens)]]
-            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["block", "ids", "learn", "lengths", "vocab", "tokens"])
+            # words are numbered as they appear, so frequent ones get small numbers, whose high bytes need no room
+            vocab = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+            tokens = np.concatenate(parts).astype("<u4")
+            row = [[number], [len(tokens)], [ids], [np.array(learn, np.uint8).tobytes()], [np.array(lengths, "<u4").tobytes()], [vocab.tobytes()], [packed(tokens, 3)]]
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         numbers, parts, ids, learn, lengths, total = Numbers(), [], [], [], [], 0
         for whole in batches:
@@ -145,7 +162,7 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.ids, self.learn = row["ids"], np.frombuffer(row["learn"], np.uint8).astype(bool)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        vocab, tokens = unpacked_keys(row["vocab"]), unpacked(row["tokens"], "<u4")
+        vocab, tokens = np.frombuffer(row["vocab"], "<u8"), unpacked(row["tokens"], "<u4")
         keys = np.append(vocab, np.uint64(START))
         order_of = np.argsort(keys, kind="stable")
         rank = np.empty(len(keys), np.int64)
@@ -180,13 +197,16 @@ STATS = [f"n{r}" for r in range(1, K + 2)]
 ANSWER = "level int, bucket int, block long, counts binary, own binary, places binary, total long, types long, " + ", ".join(f"{s} long" for s in STATS)
 
 
-def ask_counts(table: DataFrame, p: KatzParams, buckets: int) -> DataFrame:
+def ask_counts(table: DataFrame, lengths: range, buckets: int) -> DataFrame:
+    """The n-grams of these lengths in each block, by bucket, with their counts in documents to learn from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                block = Block(row, p.order)
-                for n, level in enumerate(block.levels, 1):
+                block = Block(row, lengths[-1])
+                for n in lengths:
+                    level = block.levels[n - 1]
                     edges = bucket_edges(level.keys, buckets)
                     rows = [(n, b, row["block"], packed_keys(level.keys[lo:hi]), packed(level.counts[lo:hi].astype("<u4"))) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
                     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -255,7 +275,7 @@ def discounts(total: int, types: int, ns: list[int]) -> Discounts:
 WEIGH = "level int, bucket int, block long, places binary, seen binary, lower binary, counts binary, wants binary"
 WEIGHT = "level int, bucket int, block long, weights binary"
 #: Sums of probabilities travel as whole numbers of this part, which is below any rounding that a score shows.
-PART = 2.0**-40
+PART = 2.0**-36
 
 
 class Scorer:
@@ -404,15 +424,18 @@ def katz_scores(docs: DataFrame, p: KatzParams = KatzParams(), id_col: str = "do
     """
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
-    table = space.write(blocks(docs, p, id_col, text_col), "blocks", "uncompressed")
-    size = table.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("tokens"), F.count("*").alias("blocks")).first()
-    buckets = max(12, -(-size["tokens"] // (2 * p.bucket_tokens)))  # about two packed bytes a token
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a task gets a few buckets, or a few blocks, however many there are
-    of_buckets, of_blocks = max(least, buckets * p.order // 2), max(least, size["blocks"] // 4)
-    asked = ask_counts(table, p, buckets).repartition(of_buckets, "level", "bucket")
-    answers = space.write(asked.groupBy("level", "bucket").applyInArrow(answer_counts, ANSWER), "grams")
-    space.release()
+    of_blocks = min(max(least, docs.rdd.getNumPartitions()), MOST_BUCKETED)  # files of a table
+    table = bucketed(space, blocks(docs, p, id_col, text_col), "blocks", of_blocks)
+    tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(12, -(-tokens // p.bucket_tokens))
+    of_buckets = max(least, buckets)  # a task gets a bucket or a few, however many there are
+    answers = None
+    for lengths in (range(1, min(p.order, 2) + 1), *(range(n, n + 1) for n in range(3, p.order + 1))):
+        asked = ask_counts(table, lengths, buckets).repartition(of_buckets, "level", "bucket")
+        found = space.write(asked.groupBy("level", "bucket").applyInArrow(answer_counts, ANSWER), f"grams-{lengths[-1]}")
+        space.release()
+        answers = found if answers is None else answers.unionByName(found)
     figures = {r["level"]: r for r in answers.groupBy("level").agg(*[F.sum(c).alias(c) for c in ("total", "types", *STATS)]).collect()}  # a row per level
     told = [discounts(r["total"], r["types"], [r[s] for s in STATS]) if (r := figures.get(n)) else discounts(0, 0, [0] * len(STATS)) for n in range(1, p.order + 1)]
     none = F.lit(None).cast("binary")
@@ -426,11 +449,10 @@ def katz_scores(docs: DataFrame, p: KatzParams = KatzParams(), id_col: str = "do
             out = out.unionByName(backoff.select("block", F.lit(1).alias("kind"), "level", "bucket", none.alias("counts"), none.alias("own"), none.alias("places"), "weights"))
         return out.repartition(of_blocks, "block").groupBy("block")
 
-    dealt = table.repartition(of_blocks, "block")
     for n in range(2, p.order + 1):
-        sums = dealt.groupBy("block").cogroup(replies(n, n - 1)).applyInArrow(ask_weights(n, told, buckets), WEIGH)
+        sums = table.groupBy("block").cogroup(replies(n, n - 1)).applyInArrow(ask_weights(n, told, buckets), WEIGH)
         weights = space.write(sums.repartition(of_buckets, "level", "bucket").groupBy("level", "bucket").applyInArrow(answer_weights, WEIGHT), f"backoff-{n}")
         space.release()
         backoff = weights if backoff is None else backoff.unionByName(weights)
-    scored = dealt.groupBy("block").cogroup(replies(p.order, 0)).applyInArrow(score_blocks(p.order, told), SCORED)
+    scored = table.groupBy("block").cogroup(replies(p.order, 0)).applyInArrow(score_blocks(p.order, told), SCORED)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
