@@ -104,8 +104,9 @@ def top_share(df: DataFrame, by: str, share: float, tie: str, partition: list[st
     cut = ordered.where((F.col("_before") < want) & (F.col("run_n") >= want)).select(F.col(by).alias("_cut"), (F.lit(want) - F.col("_before")).alias("_take"))
     joined = df.crossJoin(F.broadcast(cut))  # one row
     above = joined.where(F.col(by) > F.col("_cut")).drop("_cut", "_take")
-    edge = joined.where(F.col(by) == F.col("_cut")).withColumn("_r", F.row_number().over(Window.partitionBy("_cut").orderBy(tie)))
-    return above.unionByName(edge.where("_r <= _take").drop("_cut", "_take", "_r"))
+    # any share of the rows may be tied at the cut, so their order is spread over tasks too
+    edge = ordered_running(joined.where(F.col(by) == F.col("_cut")), [F.asc(tie)], {"r": F.lit(1)})
+    return above.unionByName(edge.where(F.col("run_r") <= F.col("_take")).drop("_cut", "_take", "run_r"))
 
 
 # --- assertions -------------------------------------------------------------------------------------------------

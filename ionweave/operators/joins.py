@@ -6,26 +6,42 @@ the equi-join on the bin is exact after the predicate is applied again, and it s
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a table of windows that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Needles, and their characters, that go to every task as an automaton (about 60 bytes a character).
+NEEDLE_ROWS, NEEDLE_CHARS = 100_000, 4_000_000
+#: All values up to this one share a bin of a relative width.
+LEAST = 1e-9
 
 
-def _bin(value: Column, width: float) -> Column:
+def _bin(value: Column, width: float, relative: bool = False) -> Column:
+    if relative:
+        return F.floor(F.log(F.greatest(value.cast("double"), F.lit(LEAST))) / F.lit(math.log1p(width))).cast("long")
     return F.floor(value / F.lit(width)).cast("long")
 
 
-def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, on: list[str] | None = None, how: str = "inner") -> DataFrame:
+def range_join(
+    left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, on: list[str] | None = None, how: str = "inner", relative: bool = False, small: bool = False
+) -> DataFrame:
     """Rows of left (value) with rows of right (low, high) where low <= value <= high and the columns `on` agree.
 
-    width: about the usual length of an interval. An interval goes to (high - low) / width + 2 bins at most, a value
+    width: about the usual length of an interval, or with `relative` its share of the value (for ppm and percent), so that bins fit
+    both ends of the range. An interval goes to its length / width + 2 bins at most, a value
     to one, so no pair comes twice. how: inner, left (rows of left without a partner stay) or left_semi / left_anti.
+    small: the intervals' bins are broadcast if there are BROADCAST_ROWS at most.
     """
     on = on or []
-    values = left.withColumn("_bin", _bin(F.col(value), width))
-    spans = right.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(low), width), _bin(F.col(high), width))))
+    values = left.withColumn("_bin", _bin(F.col(value), width, relative))
+    spans = right.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(low), width, relative), _bin(F.col(high), width, relative))))
+    if small and spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     renamed = spans
     for c in on:
         renamed = renamed.withColumnRenamed(c, f"_r_{c}")
@@ -61,12 +77,10 @@ def box_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, st
 def window_join(candidates: DataFrame, windows: DataFrame, value: str, low: str, high: str, width: float, extra: float = 0.0) -> DataFrame:
     """Candidates in isolation windows, closed and widened by `extra` on both sides.
 
-    A run has hundreds of windows: they are broadcast when counted at BROADCAST_ROWS at most, else the join is binned.
+    A candidate looks its bin up; a run has hundreds of windows, whose bins are broadcast when counted.
     """
     wide = windows.withColumn("_low", F.col(low) - extra).withColumn("_high", F.col(high) + extra)
-    if wide.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return candidates.join(F.broadcast(wide), F.col(value).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
-    return range_join(candidates, wide, value, "_low", "_high", width).drop("_low", "_high")
+    return range_join(candidates, wide, value, "_low", "_high", width, small=True).drop("_low", "_high")
 
 
 def band_join_keep_max(points: DataFrame, searched: DataFrame, x: str, y: str, centre: str, ppm: float, width: float, on: list[str] | None = None) -> DataFrame:
@@ -138,27 +152,63 @@ def nearest_value(values: Column, target: Column) -> Column:
     return -F.array_min(pairs)["n"]
 
 
-def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str, width: int = 8) -> DataFrame:
-    """Pairs where the needle stands in the text, found over their first `width` characters.
+def _found_by_automaton(needles: list[str], texts: DataFrame, text: str, name: str) -> DataFrame:
+    """texts with a row for each needle that stands in the text, under `name`."""
+    sent = texts.sparkSession.sparkContext.broadcast(needles)  # NEEDLE_ROWS at most
+    place, columns = texts.columns.index(text), [*texts.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, word in enumerate(sent.value):
+            automaton.add_word(word, k)
+        automaton.make_automaton()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows, found = [], []
+                for k, value in enumerate(batch.column(place).to_pylist()):
+                    own = {n for _, n in automaton.iter(value)} if value else ()
+                    rows += [k] * len(own)
+                    found += [sent.value[n] for n in own]
+                taken = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], names=columns)
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField(name, StringType())])) if needles else texts.withColumn(name, F.lit(None).cast("string")).limit(0)
+
+
+def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str, width: int = 8, most: tuple[int, int] = (NEEDLE_ROWS, NEEDLE_CHARS)) -> DataFrame:
+    """Pairs where the needle stands in the text; empty needles are in no text.
 
-    Each needle has one key, its first characters; each text has the distinct windows of that width, so the join is
-    an equi-join on keys and only its pairs are searched. Needles shorter than `width` meet texts by a key of their
-    own length. Empty needles are in no text.
+    Up to `most` distinct needles and characters of them, one automaton finds all in a single pass over each text. Beyond, needles
+    are found over their first `width` characters: each text gives the hashes of its distinct windows of that width, without the
+    text; those that are a needle's key are joined back to the text and searched. Needles shorter than `width` meet texts by a key
+    of their own length.
     """
-    lengths = [width, *range(1, width)]
     n = F.length(needle)
-    keyed = needles.where(n > 0).withColumn("_k", F.substring(F.col(needle), 1, width)).withColumn("_n", F.least(n, F.lit(width)))
-    present = {r["_n"] for r in keyed.select("_n").distinct().collect()}  # at most `width` numbers
-    def pieces(k: int) -> Column:
+    distinct = needles.where(n > 0).select(F.col(needle).alias("_substring")).distinct()
+    size = distinct.limit(most[0] + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_substring")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= most[0] and size["chars"] <= most[1]:
+        found = _found_by_automaton([r["_substring"] for r in distinct.collect()], texts, text, "_substring")
+        return F.broadcast(needles).join(found, F.col(needle) == F.col("_substring")).drop("_substring") if needles.limit(most[0] + 1).count() <= most[0] else needles.join(found, F.col(needle) == F.col("_substring")).drop("_substring")
+    keyed = needles.where(n > 0).withColumn("_k", F.xxhash64(F.substring(F.col(needle), 1, width)))
+    present = {r["n"] for r in distinct.select(F.least(F.length("_substring"), F.lit(width)).alias("n")).distinct().collect()}  # at most `width` numbers
+
+    def hashes(k: int) -> Column:
         # a substring costs its distance from the start, so a long text is cut into overlapping pieces first
         offsets = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(512))
         parts = F.transform(offsets, lambda o: F.substring(F.col(text), o, F.lit(511 + k)))
-        windows = F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - k + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(k))))
+        windows = F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(p, i, F.lit(k)))))
         return F.array_distinct(F.flatten(windows))
 
-    spans = F.flatten(F.array(*[pieces(k) for k in lengths if k in present]))
-    windows = texts.withColumn("_k", F.explode(spans)) if present else texts.withColumn("_k", F.lit(None).cast("string"))
-    return keyed.join(windows, "_k").where(F.contains(F.col(text), F.col(needle))).drop("_k", "_n")
+    every = F.array_distinct(F.flatten(F.array(*[hashes(k) for k in sorted(present)])))
+    windows = texts.select(F.xxhash64(F.col(text)).alias("_text"), every.alias("_keys")).select("_text", F.explode("_keys").alias("_k"))
+    meets = windows.join(keyed.select("_k").distinct(), "_k", "left_semi").distinct()
+    held = texts.withColumn("_text", F.xxhash64(F.col(text))).join(meets, "_text")
+    return keyed.join(held, "_k").where(F.contains(F.col(text), F.col(needle))).drop("_k", "_text")
 
 
 def protein_groups(peptides: DataFrame, proteins: DataFrame, peptide: str = "peptide", sequence: str = "sequence", description: str = "description") -> DataFrame:

@@ -177,3 +177,31 @@ def test_curves_are_fitted_to_all_points(spark):
     good = rows.select(F.col("l_quantity").alias("irt"), F.col("l_extendedprice").alias("anchor_time"), F.col("l_orderkey").alias("candidate"), F.lit(0.0).alias("q_value"), F.lit(False).alias("is_decoy"))
     curve, sigma = search.calibrate(good)
     assert len(curve.knots) == 20 and sigma == pytest.approx(10 / 12**0.5, rel=0.02)
+
+
+def test_bins_of_a_relative_width(spark):
+    points = spark.createDataFrame([(float(v),) for v in (-1, 0, 0.001, 1, 99, 100, 104, 5000)], "v double")
+    bands = spark.createDataFrame([(-2.0, 0.5), (0.0005, 0.002), (95.0, 104.0), (4900.0, 5100.0), (3.0, 2.0)], "lo double, hi double")
+    got = sorted(tuple(r) for r in joins.range_join(points, bands, "v", "lo", "hi", 0.04, relative=True, small=True).collect())
+    want = sorted((p["v"], *b) for p in points.collect() for b in bands.collect() if b["lo"] <= p["v"] <= b["hi"])
+    assert got == want
+
+
+def test_substrings_by_automaton_and_by_windows(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.choice([0, 3, 40, 2000]))) for _ in range(30)] + [None, "x" * 1200 + "needle", "dup", "dup"]
+    words = sorted({t[i : i + n] for t in texts[:30] for i, n in ((2, 2), (5, 8), (9, 30), (1500, 12)) if t[i : i + n]} | {"needle", "absent", "", "dup"})
+    needles = spark.createDataFrame([(k, w) for k, w in enumerate([*words, "dup"])], "k long, w string")
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    want = sorted((k, d) for k, w in enumerate([*words, "dup"]) for d, t in enumerate(texts) if w and t and w in t)
+    for most in ((100_000, 4_000_000), (3, 10)):
+        found = joins.substring_join(needles, rows_, "w", "t", 8, most)
+        assert sorted((r["k"], r["d"]) for r in found.collect()) == want
+    assert joins.substring_join(needles.limit(0), rows_, "w", "t").count() == 0
+
+
+def test_rows_tied_at_the_cut_are_taken_in_order(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 100, 2.0).otherwise(1.0).alias("v"))
+    assert sorted(r["id"] for r in filters.top_share(df, "v", 0.25, "id").collect()) == list(range(250))

@@ -1,11 +1,15 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ionweave.operators import joins
 from ionweave.plans import kernel_queries
 
-NO_PRODUCT = ["xic_range_join", "xic_2d_range_join", "range_anti_join", "box_overlap_join", "band_join_keep_max", "consecutive_links", "substring_groups", "window_shapes", "interference_anti_join", "xic_search"]
+NO_PRODUCT = ["xic_range_join", "xic_2d_range_join", "range_anti_join", "box_overlap_join", "band_join_keep_max", "consecutive_links", "substring_groups", "window_shapes", "interference_anti_join", "xic_search", "precursor_window_join"]
 
 
 def plan(df) -> str:
@@ -37,5 +41,13 @@ def test_built_in_functions_only(spark, data_dir):
         assert name not in python and "Python" not in plan(entry.queries()[name](spark, data_dir))
 
 
+def test_window_rows_of_a_substring_join_hold_no_text(spark, data_dir):
+    docs, needles = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data_dir}/benchmark.parquet")
+    found = joins.substring_join(needles.select("item_id", F.col("text").alias("needle")), docs, "needle", "text", 24, (0, 0))
+    generates = [line for line in plan(found).splitlines() if "Generate explode" in line]
+    carried = [line.rpartition(", [")[0].rpartition(", [")[2] for line in generates]  # the columns beside the exploded one
+    assert carried and all(re.fullmatch(r"_text#\d+L\], false", columns) for columns in carried)
+
+
 def test_flagship_is_one_of_the_queries():
-    assert callable(kernel_queries.xic_search)
+    assert callable(kernel_queries.dia_search)
