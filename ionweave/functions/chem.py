@@ -459,6 +459,11 @@ def averagine(mass: float) -> tuple[float, ...]:
     return tuple(isotope_distribution(counts))
 
 
+def averagine_near(mass: float) -> tuple[float, ...]:
+    """averagine of the table's mass that is nearest below."""
+    return averagine(float(min(max(int(mass) // 10 * 10, 300), 9_990)))
+
+
 def averagine_table(low: int = 300, high: int = 10_000, step: int = 10) -> dict[int, tuple[float, ...]]:
     return {m: averagine(float(m)) for m in range(low, high, step)}
 

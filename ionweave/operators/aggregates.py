@@ -92,8 +92,8 @@ def mean_by_decimal(df: DataFrame, value: str, places: int) -> DataFrame:
 def gap_groups(df: DataFrame, by: list[str], value: str, ppm: float) -> DataFrame:
     """df with `grp`: values in order belong together while each is within ppm of the one before."""
     order = Window.partitionBy(*by).orderBy(value)
-    gap = (F.col(value) - F.lag(value).over(order)) * 1e6 / F.lag(value).over(order)
-    return df.withColumn("_new", F.when(gap > ppm, 1).otherwise(0)).withColumn("grp", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    before = F.lag(value).over(order)
+    return df.withColumn("_new", F.when((F.col(value) - before) * 1e6 > ppm * before, 1).otherwise(0)).withColumn("grp", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def running_mean_groups(values: Column, ppm: float) -> Column:
@@ -104,7 +104,7 @@ def running_mean_groups(values: Column, ppm: float) -> Column:
     start = F.expr("named_struct('done', cast(array() as array<struct<mean:double,n:int>>), 'mean', cast(null as double), 'n', 0)")
 
     def step(acc: Column, v: Column) -> Column:
-        near = acc["mean"].isNotNull() & (F.abs(v - acc["mean"]) * 1e6 / acc["mean"] <= ppm)
+        near = acc["mean"].isNotNull() & (F.abs(v - acc["mean"]) * 1e6 <= ppm * acc["mean"])
         grown = F.struct(acc["done"].alias("done"), ((acc["mean"] * acc["n"] + v) / (acc["n"] + 1)).alias("mean"), (acc["n"] + 1).alias("n"))
         closed = F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["mean"].alias("mean"), acc["n"].alias("n"))))).otherwise(acc["done"])
         return F.when(near, grown).otherwise(F.struct(closed.alias("done"), v.alias("mean"), F.lit(1).alias("n")))

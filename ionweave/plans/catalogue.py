@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionweave.plans import arrays, kernel_queries, registry, relational  # noqa: F401  they register their queries
+from ionweave.plans import arrays, direct, kernel_queries, registry, relational  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["xic_search"](spark, sf_dir)
+    return registry.QUERIES["dia_search"](spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ionweave.operators import aggregates, joins, kernels, learn, windows
 from ionweave.plans.registry import Tables, query
-from ionweave.plans.relational import hourly, labelled, points
+from ionweave.plans.relational import _Q, hourly, labelled, points, q_sql
 from ionweave.storage import staged
 
 
@@ -17,7 +17,8 @@ def peak_integration(t):
 
 @query()
 def centroiding(t):
-    return kernels.centroiding(points(t), ["target_key"], "mz", "intensity")
+    scans = points(t).withColumn("scan", F.floor(F.col("scan_time") / 86_400).cast("long"))
+    return kernels.centroiding(scans, ["target_key", "scan"], "mz", "intensity")
 
 
 @query()
@@ -29,8 +30,9 @@ def hill_trace(t):
 @query()
 def nnls_deconv(t):
     lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    peaks = lines.groupBy("o_custkey", F.col("l_linenumber").cast("double").alias("mz")).agg(F.sum("l_quantity").alias("intensity"))
     ions = lines.groupBy("o_custkey", F.col("l_returnflag").alias("candidate"), F.col("l_linenumber").cast("double").alias("mz")).agg(F.sum("l_quantity").alias("intensity"))
+    ions = staged(ions)  # joined once, read for both sides
+    peaks = ions.groupBy("o_custkey", "mz").agg(F.sum("intensity").alias("intensity"))
     return kernels.deconvolution(peaks, ions, "o_custkey")
 
 
@@ -66,16 +68,28 @@ def fold_normalisation(t):
     return learn.normalised_folds(rows, "s", "decoy", "q", name="norm").select("doc_id", F.round("norm", 5).alias("norm"))
 
 
-@query()
+_PAIRS = """(SELECT s_suppkey * 2 AS doc_id, s_suppkey % 20 = 0 AS decoy, s_acctbal AS score FROM supplier
+  UNION ALL SELECT s_suppkey * 2 + 1, true, s_acctbal * 0.8::DOUBLE - 200 FROM supplier)"""
+
+
+@query(f"""
+SELECT doc_id // 2 AS s_suppkey, round(CAST(qv AS DOUBLE), 9) AS q_value,
+  round((SELECT least(1.0, count(*) FILTER (decoy) / count(*) FILTER (NOT decoy)) FROM {_PAIRS}), 9) AS decoy_ratio FROM ({q_sql(_PAIRS)}) WHERE doc_id % 2 = 0""")
 def paired_q_values(t):
     pairs = t.supplier.select("s_suppkey", "s_acctbal", (F.col("s_acctbal") * 0.8 - 200).alias("decoy_score"), (F.col("s_suppkey") % 20 == 0).alias("library_decoy"))
-    return windows.paired_q_values(pairs, "s_acctbal", "decoy_score", "library_decoy").select("s_suppkey", "q_value", "decoy_ratio")
+    found = windows.paired_q_values(pairs, "s_acctbal", "decoy_score", "library_decoy")
+    return found.select("s_suppkey", F.round("q_value", 9).alias("q_value"), F.round("decoy_ratio", 9).alias("decoy_ratio"))
 
 
-@query()
+_BELOW = {p: f"count(*) FILTER (NOT decoy AND qv < {p / 100})" for p in (1, 2, 5, 10, 20, 50)}
+
+
+@query(f"""
+SELECT round(({" + ".join(f"{n} * {(10 - i) / 10}" for i, n in enumerate(_BELOW.values()))}) / 6.0, 6) AS weighted_mean,
+  {" || ' | ' || ".join(f"'{p}%: ' || {n}" for p, n in _BELOW.items())} AS summary FROM ({_Q})""")
 def weighted_fdr(t):
     counts = staged(aggregates.fdr_counts(windows.q_values(labelled(t), "score", "decoy").where("not decoy"), "q_value"))
-    return aggregates.weighted_fdr_mean(counts).crossJoin(aggregates.fdr_text(counts))
+    return aggregates.weighted_fdr_mean(counts).select(F.round("weighted_mean", 6).alias("weighted_mean")).crossJoin(aggregates.fdr_text(counts))
 
 
 @query("""
@@ -94,36 +108,66 @@ def averagine_table(t):
     return aggregates.averagine_rows(t._spark)
 
 
-@query()
+@query("""
+WITH x AS (SELECT l_quantity * 20 + 200 AS searched, (l_quantity * 20 + 200) * (1 + (3 + 0.01::DOUBLE * l_quantity) / 1e6) AS found, l_discount AS sigma,
+  row_number() OVER (ORDER BY l_extendedprice DESC, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS i FROM lineitem),
+e AS (SELECT found, (found - searched) * 1e6 / searched AS ppm, sigma FROM x WHERE i <= (SELECT floor(count(*) * 0.7 + 0.5) FROM lineitem)),
+m AS (SELECT avg(ppm) AS a, stddev_pop(ppm) AS d, median(sigma) AS s FROM e),
+k AS (SELECT (found - 700) / 500 AS u, ppm AS y FROM e, m WHERE abs(ppm - a) <= 3 * d AND sigma <= s),
+s AS (SELECT count(*)::DOUBLE AS n, sum(u) AS u1, sum(u * u) AS u2, sum(u * u * u) AS u3, sum(u * u * u * u) AS u4, sum(y) AS y0, sum(u * y) AS y1, sum(u * u * y) AS y2 FROM k),
+d AS (SELECT *, n * (u2 * u4 - u3 * u3) - u1 * (u1 * u4 - u3 * u2) + u2 * (u1 * u3 - u2 * u2) AS det FROM s),
+c AS (SELECT (y0 * (u2 * u4 - u3 * u3) - u1 * (y1 * u4 - u3 * y2) + u2 * (y1 * u3 - u2 * y2)) / det AS c0, (n * (y1 * u4 - u3 * y2) - y0 * (u1 * u4 - u3 * u2) + u2 * (u1 * y2 - y1 * u2)) / det AS c1,
+  (n * (u2 * y2 - y1 * u3) - u1 * (u1 * y2 - y1 * u2) + y0 * (u1 * u3 - u2 * u2)) / det AS c2 FROM d)
+SELECT 0 AS power, round(c0 - c1 * 700 / 500 + c2 * 490000 / 250000, 4) + 0.0 AS coefficient FROM c UNION ALL SELECT 1, round(c1 / 500 - 2 * 700 * c2 / 250000, 6) + 0.0 FROM c UNION ALL SELECT 2, round(c2 / 250000, 8) + 0.0 FROM c""")
 def mass_calibration(t):
+    quantity = F.col("l_quantity") * 20 + 200
     rows = t.lineitem.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"),
-        (F.col("l_quantity") * 20 + 200).alias("searched"),
-        ((F.col("l_quantity") * 20 + 200) * (1 + (3 + 0.01 * F.col("l_quantity")) / 1e6)).alias("found"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("row_id"),
+        quantity.alias("searched"),
+        (quantity * (1 + (3 + 0.01 * F.col("l_quantity")) / 1e6)).alias("found"),
         F.col("l_discount").alias("sigma"),
         F.col("l_extendedprice").alias("intensity"),
     )
     c = learn.fit_mass_calibration(rows, "searched", "found", "sigma", "intensity", "row_id")
-    return t._spark.createDataFrame([(k, float(v)) for k, v in enumerate(c)], "power int, coefficient double")
+    return t._spark.createDataFrame([(k, round(float(v), places) + 0.0) for (k, v), places in zip(enumerate(c), (4, 6, 8), strict=True)], "power int, coefficient double")
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_partkey, (p_retailprice / 10 - 60) * 0.98::DOUBLE AS low, (p_retailprice / 10 - 60) * 1.02::DOUBLE AS high FROM part),
+d AS (SELECT DISTINCT low, high FROM b),
+t AS (SELECT low, high, event_type AS target_key, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS frame, sum(user_id)::DOUBLE AS intensity, count(*) AS n FROM events JOIN d ON value >= low AND value <= high GROUP BY ALL),
+l AS (SELECT *, CAST(round(intensity / max(intensity) OVER (PARTITION BY low, high, target_key) * 1e4) AS BIGINT) AS k, sum(intensity) OVER (PARTITION BY low, high, target_key) AS s FROM t),
+x AS (SELECT *, lag(k) OVER w AS a, lead(k) OVER w AS z FROM l WHERE abs(s) > 1e-12 WINDOW w AS (PARTITION BY low, high, target_key ORDER BY frame)),
+p AS (SELECT *, count(*) OVER (PARTITION BY low, high, target_key) AS n_peaks, row_number() OVER (PARTITION BY low, high, target_key ORDER BY intensity DESC, frame) AS i FROM x WHERE (a IS NULL OR k > a) AND (z IS NULL OR k >= z))
+SELECT p_partkey, target_key, frame, intensity, n AS n_points, n_peaks FROM b JOIN p USING (low, high) WHERE i = 1""")
 def xic_search(t):
     return flagship_rows(t)
 
 
 def flagship_rows(t: Tables):
-    """Searched values of each window with their best frame: binned range join, sums by frame, local maxima, the top one.
+    """Searched values of each window with their best frame: range join in bins of a relative width, sums by frame, local maxima, the top one.
 
     Windows are event types, frames are hours, searched values are part prices brought into the events' range.
     """
     rows = t.events.select("event_id", F.col("event_type").alias("target_key"), F.unix_seconds(F.date_trunc("hour", "ts")).alias("frame"), F.col("value").alias("mz"), F.col("user_id").cast("double").alias("intensity"))
-    bands = t.part.select("p_partkey", ((F.col("p_retailprice") / 10 - 60) * 0.98).alias("low"), ((F.col("p_retailprice") / 10 - 60) * 1.02).alias("high"))
-    found = joins.range_join(rows, bands, "mz", "low", "high", 2.0)
-    trace = found.groupBy("p_partkey", "target_key", "frame").agg(F.sum("intensity").alias("intensity"), F.count("*").alias("n"))
-    peaks = windows.extrema(trace, ["p_partkey", "target_key"], "frame", "intensity")
-    best = peaks.groupBy("p_partkey", "target_key").agg(F.max(F.struct("intensity", (-F.col("frame")).alias("_f"), "n")).alias("b"), F.count("*").alias("n_peaks"))
-    return best.select("p_partkey", "target_key", (-F.col("b._f")).alias("frame"), F.col("b.intensity").alias("intensity"), F.col("b.n").alias("n_points"), "n_peaks")
+    parts = t.part.select("p_partkey", ((F.col("p_retailprice") / 10 - 60) * 0.98).alias("low"), ((F.col("p_retailprice") / 10 - 60) * 1.02).alias("high"))
+    # equal bands, which many candidates share, are extracted once
+    found = joins.range_join(rows, parts.select("low", "high").distinct(), "mz", "low", "high", 0.04, relative=True, small=True)
+    trace = found.groupBy("low", "high", "target_key", "frame").agg(F.sum("intensity").alias("intensity"), F.count("*").alias("n"))
+    peaks = windows.extrema(trace, ["low", "high", "target_key"], "frame", "intensity")
+    best = peaks.groupBy("low", "high", "target_key").agg(F.max(F.struct("intensity", (-F.col("frame")).alias("_f"), "n")).alias("b"), F.count("*").alias("n_peaks"))
+    return parts.join(best, ["low", "high"]).select("p_partkey", "target_key", (-F.col("b._f")).alias("frame"), F.col("b.intensity").alias("intensity"), F.col("b.n").alias("n_points"), "n_peaks")
+
+
+@query()
+def dia_search(t):
+    """The whole search of a run made from the tables: calibration, tolerance, discriminant, evidence, classifier, false-discovery filter, proteins."""
+    from ionweave.plans import made_run, search
+    from ionweave.sources.tabular import parse_config
+
+    lib = staged(made_run.library(t))
+    report = search.search(lib.drop("key"), staged(made_run.run(t, lib)), parse_config("percentFDR = 5.0\nminMs2FragCount = 2\npeakCenter = 5"), made_run.proteins(lib))
+    return report.select("origin", "peptide", "charge", "precursor_mz", "is_decoy", "anchor_time", "discriminant", "classifier_norm", "q_value", "ms1_cosine", "full_share", *search.QUANTITIES, "protein_group")
 
 
 # --- streams ----------------------------------------------------------------------------------------------------

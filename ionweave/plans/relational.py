@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.functions import numeric
+from ionweave.functions import numeric, vectors
 from ionweave.operators import aggregates, filters, joins, kernels, sets, windows
 from ionweave.plans.registry import Tables, query
 
@@ -74,7 +74,7 @@ def repeated_keys(t):
 
 @query("""SELECT event_id, CASE WHEN value < 5 THEN 0.0 ELSE value END AS value FROM events""")
 def threshold_clamp(t):
-    return t.events.select("event_id", F.when(F.col("value") < 5, 0.0).otherwise(F.col("value")).alias("value"))
+    return t.events.select("event_id", vectors.raise_below(F.array("value"), 5.0)[0].alias("value"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE value >= 0""")
@@ -322,7 +322,13 @@ def gap_groups(t):
     return grouped.groupBy("user_id", "grp").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")).drop("grp")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i FROM events),
+r AS (SELECT user_id, i, value AS mean, 1 AS n, 1 AS g FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN abs(o.value - r.mean) * 1e6 <= 20000 * r.mean THEN (r.mean * r.n + o.value) / (r.n + 1) ELSE o.value END,
+    CASE WHEN abs(o.value - r.mean) * 1e6 <= 20000 * r.mean THEN r.n + 1 ELSE 1 END, CASE WHEN abs(o.value - r.mean) * 1e6 <= 20000 * r.mean THEN r.g ELSE r.g + 1 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, round(arg_max(mean, i), 6) AS mean, max(n) AS n FROM r GROUP BY user_id, g""")
 def running_mean_groups(t):
     lists = t.events.groupBy("user_id").agg(F.collect_list("value").alias("v"))
     return lists.select("user_id", F.explode(aggregates.running_mean_groups(F.col("v"), 20000.0)).alias("g")).select("user_id", F.round("g.mean", 6).alias("mean"), "g.n")
@@ -348,8 +354,10 @@ def labelled(t):
     return t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", (F.col("quality") == 0).alias("decoy"), (F.col("n_chars") % 997).alias("score"))
 
 
-_Q = f"""
-WITH x AS (SELECT doc_id, decoy, score FROM {_LABELS}),
+def q_sql(rows: str) -> str:
+    """q-values of a subquery (doc_id, decoy, score)."""
+    return f"""
+WITH x AS (SELECT doc_id, decoy, score FROM {rows}),
 c AS (SELECT score, count(*) FILTER (decoy) AS d, count(*) FILTER (NOT decoy) AS t FROM x GROUP BY score),
 r AS (SELECT score, d, t, sum(d) OVER w AS nd, sum(t) OVER w AS nt FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT a.score, a.nd, a.nt, (SELECT max(b.score) FROM r b WHERE b.d > 0 AND b.score < a.score) AS ps FROM r a WHERE a.t > 0),
@@ -357,6 +365,9 @@ q AS (SELECT p.score, CASE WHEN ps IS NOT NULL AND ps > (SELECT min(score) FROM
 SELECT x.doc_id, x.decoy, CASE WHEN x.decoy THEN 1.0 ELSE q.qv END AS qv FROM x LEFT JOIN q USING (score)"""
 
 
+_Q = q_sql(_LABELS)
+
+
 @query(f"""SELECT doc_id, round(CAST(qv AS DOUBLE), 9) AS q_value FROM ({_Q})""")
 def q_value(t):
     return windows.q_values(labelled(t), "score", "decoy").select("doc_id", F.round("q_value", 9).alias("q_value"))
@@ -521,8 +532,8 @@ def insert_if_absent(t):
 
 @query("""SELECT l_orderkey, list(l_partkey ORDER BY l_extendedprice DESC, l_partkey)[1:3] AS top FROM lineitem GROUP BY 1""")
 def topn_ions(t):
-    ions = F.collect_list(F.struct((-F.col("l_extendedprice")).alias("k"), "l_partkey"))
-    return t.lineitem.groupBy("l_orderkey").agg(F.slice(F.array_sort(ions), 1, 3).alias("top")).select("l_orderkey", F.col("top.l_partkey").alias("top"))
+    ions = F.collect_list(F.struct("l_partkey", F.col("l_extendedprice").alias("intensity"))).alias("ions")
+    return t.lineitem.groupBy("l_orderkey").agg(ions).select("l_orderkey", sets.top_ions(F.col("ions"), 3)["l_partkey"].alias("top"))
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1""")
