@@ -74,6 +74,27 @@ def drop_below(v: Column, threshold: float) -> Column:
     return F.filter(v, lambda x: x >= threshold)
 
 
+def drop_sparse_below(m: Column, threshold: float) -> Column:
+    """A map from place to value without the values below the threshold."""
+    return F.map_filter(m, lambda _, x: x >= threshold)
+
+
+def sparse_apexes(m: Column, precision: float = 1e4) -> Column:
+    """Places of the local maxima of a map from place to value, by place; places without a value are 0.
+
+    As for dense vectors, values are whole numbers of 1 / precision of the maximum, above the left and not below the right
+    neighbour.
+    """
+    top = F.array_max(F.map_values(m))
+    level = lambda i: F.round(F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / top * precision)
+    return F.filter(F.array_sort(F.map_keys(m)), lambda i: (level(i) > level(i - 1)) & (level(i) >= level(i + 1)))
+
+
+def with_noise(v: Column, row_id: Column, amount: float, seed: int = 666) -> Column:
+    """Values plus noise from -amount to amount, the same for a row and place in every run."""
+    return F.transform(v, lambda x, i: x + (F.pmod(F.xxhash64(row_id, i, F.lit(seed)), F.lit(2_000_001)) / 1e6 - 1) * amount)
+
+
 def replace_nan(v: Column, fill: float = 0.0) -> Column:
     return F.transform(v, lambda x: F.nanvl(x, F.lit(fill)))
 

@@ -121,6 +121,25 @@ def charges_and_isotopes(t):
     return t.part.select("p_partkey", chem.guess_charge(F.col("p_retailprice"), F.col("p_size") * 10.0 + 1).alias("charge"), F.transform(ladder, lambda m: F.round(m, 6)).alias("ladder"))
 
 
+@query("""
+WITH m AS (SELECT user_id, event_id % 40 AS k, sum(event_id)::DOUBLE AS v FROM events GROUP BY 1, 2), t AS (SELECT user_id, max(v) AS top FROM m GROUP BY 1),
+d AS (SELECT user_id, k, coalesce(v, 0) AS v, round(coalesce(v, 0) / top * 1e4) AS l FROM (SELECT user_id, top, unnest(range(-1, 41)) AS k FROM t) LEFT JOIN m USING (user_id, k)),
+n AS (SELECT *, lag(l) OVER w AS a, lead(l) OVER w AS b FROM d WINDOW w AS (PARTITION BY user_id ORDER BY k))
+SELECT user_id, list(k ORDER BY k) FILTER (v > 0 AND l > a AND l >= b) AS apexes, CAST(count(*) FILTER (v >= 20000) AS INTEGER) AS high FROM n GROUP BY 1""")
+def sparse_maxima(t):
+    per = t.events.groupBy("user_id", (F.col("event_id") % 40).alias("k")).agg(F.sum("event_id").cast("double").alias("v"))
+    maps = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return maps.select("user_id", vectors.sparse_apexes(F.col("m")).alias("apexes"), F.size(vectors.drop_sparse_below(F.col("m"), 20_000.0)).alias("high"))
+
+
+@query("SELECT event_id, true AS within FROM events")
+def noisy_vectors(t):
+    v = F.array(F.col("value"), F.lit(0.0))
+    noisy = vectors.with_noise(v, F.col("event_id"), 0.5)
+    off = F.zip_with(v, noisy, lambda a, b: F.abs(a - b))
+    return t.events.select("event_id", (F.forall(off, lambda x: x <= 0.5 + 1e-9) & F.exists(off, lambda x: x > 0)).alias("within"))
+
+
 # --- sequences --------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +86,40 @@ def _decoded(kind: str) -> Column:
     return F.coalesce(out, F.expr("cast(array() as array<double>)"))
 
 
-def open_run(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Scans of a file by its kind: mzml or parquet, by the suffix if not given. Vendor folders (.d) need the vendor's library."""
-    from ionweave.operators.filters import expect
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The scans of an mzML file without their points, which are neither parsed into columns nor decoded."""
+    return read_mzml(spark, path).drop("mz", "intensity")
+
+
+def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
     from ionweave.sources.tabular import read_scans
 
+    return read_scans(spark, path)
+
+
+#: Readers by kind, and kinds by suffix; register_reader adds to both.
+READERS = {"mzml": read_mzml, "parquet": _read_parquet}
+SUFFIXES = {"mzml": "mzml", "parquet": "parquet", "prqff": "parquet", "cached": "parquet"}
+
+
+def register_reader(kind: str, read: Callable[[SparkSession, str], DataFrame], *suffixes: str) -> None:
+    """Opens files of these suffixes (the kind itself without any) by a reader that returns scans in their schema."""
+    READERS[kind] = read
+    SUFFIXES.update({s.lower(): kind for s in suffixes or (kind,)})
+
+
+def open_run(spark: SparkSession, path: str, kind: str | None = None, between: tuple[str, object, object] | None = None) -> DataFrame:
+    """Scans of a file by its kind, by the suffix if not given. Vendor folders (.d) need the vendor's library.
+
+    between: (column, low, high), a closed range of a scan column, such as scan_number; Parquet scans read only that.
+    """
+    from ionweave.operators.filters import expect
+
     suffix = path.rstrip("/").rpartition(".")[2].lower()
-    kind = kind or {"mzml": "mzml", "parquet": "parquet", "prqff": "parquet", "cached": "parquet"}.get(suffix, suffix)
-    expect(kind in ("mzml", "parquet"), f"no reader for {path}")
-    return read_mzml(spark, path) if kind == "mzml" else read_scans(spark, path)
+    kind = kind or SUFFIXES.get(suffix, suffix)
+    expect(kind in READERS, f"no reader for {path}")
+    scans = READERS[kind](spark, path)
+    return scans.where(F.col(between[0]).between(between[1], between[2])) if between else scans
 
 
 def convert(spark: SparkSession, source: str, target: str) -> None:

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from ionweave import schema
 from ionweave.functions import chem
 from ionweave.operators.filters import CheckFailed
 from ionweave.sources import library, mzml, tabular
@@ -168,3 +169,21 @@ def test_labels_are_inferred(spark):
     got = library.infer_labels(spark.createDataFrame(row, library.schema.LIBRARY)).collect()
     assert got[0]["labels"] == labels and got[1]["labels"] == ["p"] * 4
     assert library.decoy_sources()["N"] == ["Q"]
+
+
+def test_readers_are_registered_and_ranges_read(spark, tmp_path):
+    from ionweave.sources import mzml
+
+    scans = spark.createDataFrame([(i, 2, i * 0.1, 0.0, 500.0, 1.0, 1.0, None, None, "500000", [100.0], [1.0]) for i in range(20)], schema.SCANS)
+    scans.write.parquet(str(tmp_path / "run.own"))
+    with pytest.raises(ValueError):
+        mzml.open_run(spark, str(tmp_path / "run.own"))
+    mzml.register_reader("own", lambda s, path: s.read.parquet(path))
+    assert mzml.open_run(spark, str(tmp_path / "run.own")).count() == 20
+    part = mzml.open_run(spark, str(tmp_path / "run.own"), between=("scan_number", 3, 7))
+    assert sorted(r["scan_number"] for r in part.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_settings_without_effect_are_told(spark):
+    with pytest.warns(UserWarning, match="tranche_size_max"):
+        assert tabular.parse_config("trancheSizeMax = 7\nuseAlternativeDecoys = true").use_alternative_decoys
