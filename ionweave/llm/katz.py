@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ionweave.llm.common import Workspace, crc_bucket, text_or_empty
 
+#: Words are known by the upper 56 bits of their hashes, longer n-grams by hashes of 64 bits over them.
+WORD_BITS = (1 << 64) - (1 << 8)
 #: Hashes of the start mark, which is never predicted, and of the end token; no word has a space.
-START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
+START, END = (xxhash.xxh3_64_intdigest(x) & WORD_BITS for x in (b" start", b" end"))
 #: Counts up to this one get Good-Turing discounts.
 K = 5
 
@@ -105,9 +107,9 @@ def blocks(docs: DataFrame, p: KatzParams, id_col: str, text_col: str) -> DataFr
 
         def close() -> pa.RecordBatch:
             # words are numbered as they appear, so frequent ones get small numbers, whose high bytes need no room
-            vocab = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+            vocab = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) & WORD_BITS for w in numbers), np.uint64, len(numbers))
             tokens = np.concatenate(parts).astype("<u4")
-            row = [[number], [len(tokens)], [ids], [np.array(learn, np.uint8).tobytes()], [np.array(lengths, "<u4").tobytes()], [vocab.tobytes()], [packed(tokens, 3)]]
+            row = [[number], [len(tokens)], [ids], [np.array(learn, np.uint8).tobytes()], [np.array(lengths, "<u4").tobytes()], [packed(vocab)], [packed(tokens, 3)]]
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -162,7 +164,7 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.ids, self.learn = row["ids"], np.frombuffer(row["learn"], np.uint8).astype(bool)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        vocab, tokens = np.frombuffer(row["vocab"], "<u8"), unpacked(row["tokens"], "<u4")
+        vocab, tokens = unpacked(row["vocab"], "<u8"), unpacked(row["tokens"], "<u4")
         keys = np.append(vocab, np.uint64(START))
         order_of = np.argsort(keys, kind="stable")
         rank = np.empty(len(keys), np.int64)
@@ -275,7 +277,7 @@ def discounts(total: int, types: int, ns: list[int]) -> Discounts:
 WEIGH = "level int, bucket int, block long, places binary, seen binary, lower binary, counts binary, wants binary"
 WEIGHT = "level int, bucket int, block long, weights binary"
 #: Sums of probabilities travel as whole numbers of this part, which is below any rounding that a score shows.
-PART = 2.0**-36
+PART = 2.0**-32
 
 
 class Scorer:
@@ -291,9 +293,10 @@ class Scorer:
         self.places = np.concatenate(named) if named else None  # of the n-grams of the level below the last
         for n in range(1, order + 1):
             parts = [unpacked(a["counts"], "<u8").astype(np.int64) for a in got if a["level"] == n]
-            own = [np.unpackbits(np.frombuffer(a["own"], np.uint8))[: len(c)].astype(bool) for a, c in zip([a for a in got if a["level"] == n], parts, strict=True)]
+            bits = [a["own"] for a in got if a["level"] == n]
+            own = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(c)].astype(bool) for x, c in zip(bits, parts, strict=True) if x is not None]
             self.counts.append(np.concatenate(parts))
-            self.own.append(np.concatenate(own))
+            self.own.append(np.concatenate(own) if own else None)  # of the last level only
         self.chance = [np.where(self.counts[0] > 0, told[0].kept(self.counts[0]) / max(told[0].total, 1), told[0].unknown)]
         self.weights = {n: [unpacked(w["weights"], "<f8") for w in sorted((w for w in weights if w["level"] == n), key=lambda w: w["bucket"])] for n in range(2, order + 1)}
         for n in range(2, order + 1):
@@ -355,7 +358,7 @@ def ask_weights(n: int, told: list[Discounts], buckets: int):
             contexts, seen, lower = block.sums(n)
             places, counts, wants = block.places[contexts], block.counts[n - 2][contexts], block.wants(n)[contexts]
             edges = bucket_edges(block.block.levels[n - 2].keys[contexts], buckets)
-            parts = np.rint(lower / PART).astype("<u8")
+            parts = np.minimum(np.rint(lower / PART), 2**32 - 1).astype("<u4")
             for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
                     at = contexts[lo:hi]
@@ -372,7 +375,7 @@ def answer_weights(key: tuple, t: pa.Table) -> pa.Table:
     t = t.sort_by("block")
     places = [unpacked_keys(x).astype(np.int64) for x in t["places"].to_pylist()]
     seen = np.concatenate([unpacked(x, "<f8") for x in t["seen"].to_pylist()])
-    lower = np.concatenate([unpacked(x, "<u8") for x in t["lower"].to_pylist()]) * PART
+    lower = np.concatenate([unpacked(x, "<u4") for x in t["lower"].to_pylist()]) * PART
     counts = np.concatenate([unpacked(x, "<u8") for x in t["counts"].to_pylist()]).astype(np.float64)
     at = np.concatenate(places)
     n_places = int(at.max(initial=-1)) + 1
@@ -420,19 +423,19 @@ def katz_scores(docs: DataFrame, p: KatzParams = KatzParams(), id_col: str = "do
     words of the ASCII-lower-cased text and one end; a null text is an empty one with the end alone. score is the log10
     probability under the model, base_score that of counts plus one. The unknown word is one more type for both. Repeated
     rows are learned as often as they come; texts of any length are taken whole, one alone in a block if need be; other columns are ignored. Without rows to learn from, every token is the unknown word. An empty
-    table gives no rows. N-grams are known by 64-bit hashes.
+    table gives no rows. N-grams are known by 64-bit hashes, words by 56-bit ones.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "katz")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of_blocks = min(max(least, docs.rdd.getNumPartitions()), MOST_BUCKETED)  # files of a table
+    of_blocks = min(max(least, 4 * docs.rdd.getNumPartitions()), MOST_BUCKETED)  # so that a task gets a few blocks
     table = bucketed(space, blocks(docs, p, id_col, text_col), "blocks", of_blocks)
     tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(12, -(-tokens // p.bucket_tokens))
-    of_buckets = max(least, buckets)  # a task gets a bucket or a few, however many there are
     answers = None
     for lengths in (range(1, min(p.order, 2) + 1), *(range(n, n + 1) for n in range(3, p.order + 1))):
-        asked = ask_counts(table, lengths, buckets).repartition(of_buckets, "level", "bucket")
+        # a task gets a bucket or a few, however many there are
+        asked = ask_counts(table, lengths, buckets).repartition(max(least, buckets * len(lengths)), "level", "bucket")
         found = space.write(asked.groupBy("level", "bucket").applyInArrow(answer_counts, ANSWER), f"grams-{lengths[-1]}")
         space.release()
         answers = found if answers is None else answers.unionByName(found)
@@ -441,18 +444,18 @@ def katz_scores(docs: DataFrame, p: KatzParams = KatzParams(), id_col: str = "do
     none = F.lit(None).cast("binary")
     backoff = None
 
-    def replies(n: int, named: int) -> DataFrame:
-        """What a block has to know of levels up to n; places of the level `named`."""
-        places = F.when(F.col("level") == named, F.col("places")).alias("places")
-        out = answers.where(F.col("level") <= n).select("block", F.lit(0).alias("kind"), "level", "bucket", "counts", "own", places, none.alias("weights"))
+    def replies(n: int, sums: bool) -> DataFrame:
+        """What a block has to know of levels up to n; for sums also what it owns of n and the places of the level below."""
+        places, own = (F.when((F.col("level") == level) & F.lit(sums), F.col(c)).alias(c) for level, c in ((n - 1, "places"), (n, "own")))
+        out = answers.where(F.col("level") <= n).select("block", F.lit(0).alias("kind"), "level", "bucket", "counts", own, places, none.alias("weights"))
         if backoff is not None:
             out = out.unionByName(backoff.select("block", F.lit(1).alias("kind"), "level", "bucket", none.alias("counts"), none.alias("own"), none.alias("places"), "weights"))
         return out.repartition(of_blocks, "block").groupBy("block")
 
     for n in range(2, p.order + 1):
-        sums = table.groupBy("block").cogroup(replies(n, n - 1)).applyInArrow(ask_weights(n, told, buckets), WEIGH)
-        weights = space.write(sums.repartition(of_buckets, "level", "bucket").groupBy("level", "bucket").applyInArrow(answer_weights, WEIGHT), f"backoff-{n}")
+        sums = table.groupBy("block").cogroup(replies(n, True)).applyInArrow(ask_weights(n, told, buckets), WEIGH)
+        weights = space.write(sums.repartition(max(least, buckets), "level", "bucket").groupBy("level", "bucket").applyInArrow(answer_weights, WEIGHT), f"backoff-{n}")
         space.release()
         backoff = weights if backoff is None else backoff.unionByName(weights)
-    scored = table.groupBy("block").cogroup(replies(p.order, 0)).applyInArrow(score_blocks(p.order, told), SCORED)
+    scored = table.groupBy("block").cogroup(replies(p.order, False)).applyInArrow(score_blocks(p.order, told), SCORED)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
