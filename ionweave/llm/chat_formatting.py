@@ -93,7 +93,8 @@ def chat_formatting(
 
     branch ranks the paths of a tree from 1 by the sum of their nodes' scores, then by leaf; `branches` keeps that
     many. loss: array of (start, length) in code points of `formatted`. Null roles and texts are empty; a null tree_id is a
-    tree of its own; see root_paths for repeated nodes. An empty table gives no rows; other columns are ignored.
+    tree of its own; see root_paths for repeated nodes. Texts of any length are formatted whole. An empty table gives no rows; other
+    columns are ignored.
     """
     space = Workspace(rows.sparkSession, "chat")
     picked = rows.select(

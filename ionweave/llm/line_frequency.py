@@ -199,7 +199,7 @@ def clean_documents(docs: DataFrame, p: LineParams = LineParams(), id_col: str =
     `text` is without the boilerplate lines of its host, which held n_line_words words; the corpus is `text` where
     `kept`. A null text is an empty one: no words, base_failed. A null host is a host of its own. Of equal texts one
     counts as a document of its host, so a group of exact copies doesn't make its lines boilerplate. Repeated rows are
-    judged alike; an empty table gives no rows; other columns are ignored.
+    judged alike; texts and lines of any length are read whole; an empty table gives no rows; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "quality-rules")
     table = space.write(facts(docs, p, id_col, text_col, host_col), "facts")
